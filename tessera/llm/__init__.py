@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, mixing, secret_scan, simhash_dedup
+from . import byte_bpe, chat_format, language_id, mixing, secret_scan, simhash_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (mixing.op1_source_mixing, secret_scan.op5_secret_scan, language_id.op7_language_id, simhash_dedup.op8_simhash_dedup, byte_bpe.op10_byte_bpe)}
+    own = (mixing.op1_source_mixing, secret_scan.op5_secret_scan, language_id.op7_language_id, simhash_dedup.op8_simhash_dedup, chat_format.op9_chat_format, byte_bpe.op10_byte_bpe)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_chat_format": chat_format.OP9_SQL}
