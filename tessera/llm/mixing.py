@@ -5,7 +5,7 @@ tokens and stay between 0 and the cap, entropy balancing takes those nearest to
 relative entropy, sum size * (r log(r / q) - r + q). The dual is convex with one multiplier a source, and its solution
 is exponentially tilted: r = min(cap, q exp(multiplier)). Newton's iterations raise the dual: each is one aggregation
 over the documents (tokens mixed so far, and the part of them that isn't capped, which is the Hessian's diagonal), so
-what moves is a row a source and what reaches the driver is the largest error.
+what moves is a row a source and what reaches the driver is whether one is left to settle.
 
 Rates become copies by systematic rounding: within a source, in chunks of about `chunk_rows` documents dealt by a hash
 of the id, documents stand in order of size, and each takes the whole numbers that the running sum of its fractions
@@ -50,17 +50,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
     """sizes: source, size, base (q > 0). targets: source, target. Returns source, multiplier: the dual's solution. Sources without tokens keep multiplier 0."""
     groups = written(sizes.groupBy("source", "base").agg(F.sum("size").cast("double").alias("tokens")), "groups")
-    dual = targets.select("source", "target", F.lit(0.0).alias("multiplier"))
+    # where the last document is capped the dual turns flat: the search starts there and keeps a bracket about the solution
+    top = groups.groupBy(F.col("source").alias("of")).agg(F.log(cap / F.min("base")).alias("high"))
+    dual = targets.select("source", "target").join(top, F.col("source").eqNullSafe(F.col("of"))).select("source", "target", F.lit(-100.0).alias("low"), "high", F.col("high").alias("multiplier"))
     for _ in range(rounds):
-        rate = F.least(F.lit(cap), F.col("base") * F.exp("multiplier"))
-        free = F.col("base") * F.exp("multiplier") < cap
-        sums = groups.join(dual.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).groupBy("source", "target", "multiplier").agg(F.sum(F.col("tokens") * rate).alias("mixed"), F.sum(F.when(free, F.col("tokens") * rate).otherwise(0.0)).alias("slope"))
+        raised = F.col("base") * F.exp("multiplier")
+        mixed = F.col("tokens") * F.least(F.lit(cap), raised)
+        slope = F.when(raised <= cap * (1 + 1e-12), mixed).otherwise(0.0)
+        sums = groups.join(dual.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).groupBy("source", "target", "low", "high", "multiplier").agg(F.sum(mixed).alias("mixed"), F.sum(slope).alias("slope"))
         gap = F.col("target") - F.col("mixed")
-        # a Newton step of at most 1; where all is capped the dual is flat, and a step down leads back
-        step = F.when(F.col("slope") > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), gap / F.col("slope")))).when(gap < -tolerance * F.col("target"), F.lit(-0.5)).otherwise(F.lit(0.0))
-        moved = written(sums.select("source", "target", (F.col("multiplier") + step).alias("multiplier"), (F.abs(gap) / F.greatest("target", F.lit(1.0))).alias("error"), F.abs(step).alias("step")), "dual")
-        dual = moved.select("source", "target", "multiplier")
-        if (moved.where(F.col("step") > 0).agg(F.max("error")).first()[0] or 0.0) <= tolerance:
+        settled = F.abs(gap) <= tolerance * F.col("target")
+        low, high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("low")), F.when(gap < 0, F.col("multiplier")).otherwise(F.col("high"))
+        newton = F.when(F.col("slope") > 0, F.col("multiplier") + gap / F.col("slope"))
+        step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
+        moved = sums.select("source", "target", low.alias("low"), high.alias("high"), F.when(settled, F.col("multiplier")).otherwise(step).alias("multiplier"), settled.alias("settled"))
+        moved = written(moved, "dual")
+        dual = moved.select("source", "target", "low", "high", "multiplier")
+        if moved.where("not settled").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("the multipliers did not settle")
