@@ -159,7 +159,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in rows.select(F.col("id").cast("double")).approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n)})
+    cuts = sorted({int(x) for x in rows.select(F.col("id").cast("double")).approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
     rows = rows.withColumn("range", range_udf(cuts)("id"))
     tops = {r["range"]: r.top for r in rows.groupBy("range").agg(F.max("id").alias("top")).collect()}  # a row a range
     if not tops:
