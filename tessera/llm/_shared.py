@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -50,16 +51,29 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def text_udf(make: Callable[[], Callable[[list], pa.Array]], kind, rows: int = 512):
+def runs(sizes: list[int], rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most `rows` items and of sizes that sum to at most `size`, or of one item."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if k > start and (k - start >= rows or total + n > size):
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def text_udf(make: Callable[[], Callable[[list], pa.Array]], kind, rows: int = 512, size: int = 2_000_000):
     """An Arrow UDF on one column: make() runs once a worker task and gives the function from a list of values to their results.
-    Batches are handled in slices of `rows`, which bounds what Python holds as objects. Marked nondeterministic only so
-    that Spark never evaluates it twice."""
+    Batches are handled in slices of at most `rows` values and `size` bytes (or one value), which bounds what Python holds
+    as objects. Marked nondeterministic only so that Spark never evaluates it twice."""
 
     @arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for batch in batches:
-            parts = [work(batch.slice(k, rows).to_pylist()) for k in range(0, len(batch), rows)] or [work([])]
+            lengths = pc.fill_null(pc.binary_length(batch), 0).to_pylist()
+            parts = [work(batch.slice(a, b - a).to_pylist()) for a, b in runs(lengths, rows, size)] or [work([])]
             yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
     return run.asNondeterministic()

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import fold, table, text_udf
+from ._shared import fold, runs, table, text_udf
 
 UNDECIDED = "und"
 #: Lengths of the n-grams; the letters within, all but the ends, must be letters.
 LENGTHS = (3, 4)
+#: Characters that are turned into n-grams at a time.
+PIECE = 500_000
 _letters: list[np.ndarray] = []
 
 
@@ -66,6 +68,19 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.concatenate(hashes), np.concatenate(owners), has, starts
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A long text in pieces of about PIECE characters, cut behind what isn't a letter, so that no n-gram is cut (within a word of more than PIECE letters, a few are)."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        end = end if end > at else at + PIECE
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 @dataclass(frozen=True)
 class Model:
     """languages: in order of their bits; masks: the filter's words; probes: places for each n-gram; false: each language's rate of false positives."""
@@ -84,9 +99,17 @@ class Model:
 
     def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Corrected share of n-grams of each text by language, whether it has a letter, and its number of n-grams."""
-        hashes, owner, has, _ = grams(texts)
-        found, total = self.holders(hashes), np.bincount(owner, minlength=len(texts))
-        hits = np.stack([np.bincount(owner[(found >> np.array(k, found.dtype)) & found.dtype.type(1) > 0], minlength=len(texts)) for k in range(len(self.languages))], 1)
+        total, has = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        hits = np.zeros((len(texts), len(self.languages)), np.int64)
+        parts = [(k, p) for k, t in enumerate(texts) for p in pieces(t or "")]
+        for a, b in runs([len(p) for _, p in parts], 256, PIECE):
+            hashes, owner, letter, _ = grams([p for _, p in parts[a:b]])
+            text = np.array([k for k, _ in parts[a:b]])
+            found, owner = self.holders(hashes), text[owner]
+            total += np.bincount(owner, minlength=len(texts))
+            for k in range(len(self.languages)):
+                hits[:, k] += np.bincount(owner[(found >> np.array(k, found.dtype)) & found.dtype.type(1) > 0], minlength=len(texts))
+            has[text[letter]] = True
         seen = hits / np.maximum(total, 1)[:, None]
         return np.clip((seen - self.false) / (1 - self.false), 0, 1), has, total
 
@@ -130,9 +153,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
             for lang in dict.fromkeys(langs.tolist()):
-                own = [texts[k] for k in np.flatnonzero(langs == lang)]
-                for k in range(0, len(own), 256):
-                    h, n = np.unique(grams(own[k : k + 256])[0], return_counts=True)
+                own = [p for k in np.flatnonzero(langs == lang) for p in pieces(texts[k])]
+                for a, b in runs([len(p) for p in own], 256, PIECE):
+                    h, n = np.unique(grams(own[a:b])[0], return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "h", "n"])
 
     counts = sample.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
@@ -161,7 +184,7 @@ def detector(spark: SparkSession, model: Model):
 
         return work
 
-    return text_udf(make, "lang string, score double", rows=256)
+    return text_udf(make, "lang string, score double")
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
