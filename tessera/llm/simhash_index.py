@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ._shared import table, text_udf
+from ._shared import bound_batches, table, text_udf, written
 
 BITS = 128
 #: Weights of a single word and of a pair of words.
@@ -60,46 +60,108 @@ def likeness(a: bytes, b: bytes) -> float:
     return max(0.0, cos(pi * differing / BITS)) if 2 * differing < BITS else 0.0
 
 
+def cuts_of(radius: int) -> list[int]:
+    """Ends of the radius + 1 blocks."""
+    n = radius + 1
+    if not 0 < n <= BITS // 2:
+        raise ValueError("the radius must be from 0 to 63")
+    return [BITS * k // n for k in range(n + 1)]
+
+
+def as_words(fps: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of two unsigned words."""
+    return np.frombuffer(b"".join(fps.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+def dealt(df: DataFrame, radius: int) -> DataFrame:
+    """df: fp, n, side. A row for each table: (tab, block, fp, n, side)."""
+    cuts = cuts_of(radius)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits = np.unpackbits(as_words(batch.column("fp")).view(np.uint8), axis=1).astype(np.int64)
+            for t, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                block = bits[:, a:b][:, -62:] @ (1 << np.arange(min(b - a, 62), dtype=np.int64)[::-1])
+                yield pa.record_batch([pa.array(np.full(len(block), t, np.int32)), pa.array(block), batch.column("fp"), batch.column("n"), batch.column("side")], ["tab", "block", "fp", "n", "side"])
+
+    return df.select("fp", "n", "side").mapInArrow(deal, "tab int, block long, fp binary, n long, side int")
+
+
+def matches(queries: np.ndarray, entries: np.ndarray, tab: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, distance) of the pairs within the radius that agree on no earlier table's block, so that each pair is found in one table only."""
+    cuts, found = cuts_of(radius), []
+    for k in range(0, len(queries), max(1, 1_000_000 // max(1, len(entries)))):
+        part = queries[k : k + max(1, 1_000_000 // max(1, len(entries)))]
+        d = np.bitwise_count(part[:, None, 0] ^ entries[None, :, 0]) + np.bitwise_count(part[:, None, 1] ^ entries[None, :, 1])
+        q, e = np.nonzero(d <= radius)
+        bits = np.unpackbits((part[q] ^ entries[e]).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+        first = np.ones(len(q), bool)
+        for a, b in zip(cuts[:tab], cuts[1 : tab + 1], strict=True):
+            first &= bits[:, a:b].any(1)
+        found.append((q[first] + k, e[first], d[q, e][first].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def searched(batches: Iterator[pa.RecordBatch], radius: int, counted: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (tab, block, part, side), entries before queries: the entries of a part are held, queries stream by. counted: (qfp, n) a query, else (qfp, efp, distance) a pair."""
+    key, held, weights = None, [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("tab", "block", "part", "side")], 1)
+        words, n = as_words(batch.column("fp")), np.asarray(batch.column("n"))
+        cuts = np.r_[0, np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1, len(keys)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if key != (own := tuple(keys[a, :3].tolist())):
+                key, held, weights = own, [], []
+            if keys[a, 3] == 0:
+                held.append(words[a:b])
+                weights.append(n[a:b])
+            elif held:
+                held, weights = [np.concatenate(held)], [np.concatenate(weights)]
+                q, e, d = matches(words[a:b], held[0], own[0], radius)
+                if counted:
+                    total = np.bincount(q, weights[0][e], b - a).astype(np.int64)
+                    hit = np.flatnonzero(total)
+                    yield pa.record_batch([pa.array([x.tobytes() for x in words[a:b][hit]], pa.binary()), pa.array(total[hit])], ["qfp", "n"])
+                else:
+                    yield pa.record_batch([pa.array([x.tobytes() for x in words[a:b][q]], pa.binary()), pa.array([x.tobytes() for x in held[0][e]], pa.binary()), pa.array(d)], ["qfp", "efp", "distance"])
+
+
+def search(queries: DataFrame, entries: DataFrame, radius: int, bucket_rows: int, counted: bool) -> DataFrame:
+    """queries, entries: fp (distinct), n. Blocks without a query are left out; a block of more than bucket_rows entries is cut into parts, and its queries go to each."""
+    asked, held = dealt(queries.withColumn("side", F.lit(1)), radius), dealt(entries.withColumn("side", F.lit(0)), radius)
+    size = held.groupBy("tab", "block").agg(F.count("*").alias("rows")).join(asked.select("tab", "block").distinct(), ["tab", "block"])
+    size = size.select("tab", "block", F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).cast("int").alias("parts"))
+    held = held.join(size, ["tab", "block"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    asked = asked.join(size, ["tab", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = held.drop("parts").unionByName(asked.drop("parts")).repartition("tab", "block", "part").sortWithinPartitions("tab", "block", "part", "side")
+    return rows.mapInArrow(lambda batches: searched(batches, radius, counted), "qfp binary, n long" if counted else "qfp binary, efp binary, distance long")
+
+
+def distinct(df: DataFrame) -> DataFrame:
+    return df.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n"))
+
+
 def neighbours(queries: DataFrame, entries: DataFrame, radius: int = 8, bucket_rows: int = 20_000) -> DataFrame:
     """queries, entries: id (long), fp (16 bytes). Returns query_id, id, distance: every entry within the radius of each
     query, other than the query's own id. Null fingerprints find nothing. Repeated rows of one side are found as one.
 
     Answers are as many as there are pairs within the radius, which is what a search returns; the search compares distinct fingerprints only."""
-    n = radius + 1
-    if n > BITS // 8:
-        raise ValueError("more blocks than bytes")
-    cuts = [BITS * k // n for k in range(n + 1)]
-    as_bits = lambda c: F.lpad(F.conv(F.hex(F.substring(c, 1, 8)), 16, 2), 64, "0")
-    bits = F.concat(as_bits("fp"), F.lpad(F.conv(F.hex(F.substring("fp", 9, 8)), 16, 2), 64, "0"))
-
-    def dealt(df: DataFrame, side: int) -> DataFrame:
-        distinct = df.where("fp is not null").select("fp").distinct().withColumn("bits", bits)
-        keys = F.array(*[F.struct(F.lit(k).alias("table"), F.substring("bits", a + 1, b - a).alias("block")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-        return distinct.select(F.explode(keys).alias("key"), "fp", F.lit(side).alias("side"))
-
-    asked, held = dealt(queries, 0), dealt(entries, 1)
-    size = held.groupBy("key").agg(F.count("*").alias("n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("int")
-    held = held.join(size, "key").select("key", "fp", "side", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
-    asked = asked.join(size, "key").select("key", "fp", "side", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-
-    def search(rows: pa.Table) -> pa.Table:
-        side = np.asarray(rows.column("side"))
-        raw = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(-1, 2)
-        q, e = raw[side == 0], raw[side == 1]
-        found: list[tuple[bytes, bytes, int]] = []
-        for k in range(len(q)):
-            d = np.bitwise_count(e ^ q[k]).sum(1, dtype=np.int64)
-            found += [(q[k].tobytes(), e[j].tobytes(), int(d[j])) for j in np.flatnonzero(d <= radius)]
-        a, b, d = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"qfp": pa.array(a, pa.binary()), "efp": pa.array(b, pa.binary()), "distance": pa.array(d, pa.int64())})
-
-    near = held.unionByName(asked).groupBy("key", "part").applyInArrow(search, "qfp binary, efp binary, distance long").distinct()
+    near = search(distinct(queries), distinct(entries), radius, bucket_rows, False)
     near = near.join(queries.select(F.col("id").alias("query_id"), F.col("fp").alias("qfp")).distinct(), "qfp")
     near = near.join(entries.select("id", F.col("fp").alias("efp")).distinct(), "efp")
     return near.where(~F.col("query_id").eqNullSafe(F.col("id"))).select("query_id", "id", "distance")
 
 
+def counts_within(queries: DataFrame, entries: DataFrame, radius: int = 8, bucket_rows: int = 20_000) -> DataFrame:
+    """queries: fp; entries: fp, a row a document. Returns fp, n: for each distinct fingerprint asked, the entries within the radius, equal ones included. No pair is listed."""
+    near = search(distinct(queries), distinct(entries), radius, bucket_rows, True)
+    return near.groupBy(F.col("qfp").alias("fp")).agg(F.sum("n").alias("n"))
+
+
 def edited(text: str, after: str) -> str:
     """text with its last half replaced by the start of the text after it."""
     n = len(text)
@@ -157,6 +219,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts count as empty. Null ids stand last; among equal ids the texts' order decides. A single document is its
     own next one. An empty table gives no rows."""
     spark = docs.sparkSession
+    bound_batches()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({int(x) for x in rows.select(F.col("id").cast("double")).approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n)}) if n > 1 else []
@@ -180,7 +243,12 @@ def in_turn_nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near: the number of other documents
+    within 8 bits of its fingerprint, for every document whose id is divisible by 20, null for the others."""
     pairs = with_edits(table(spark, sf_dir, "documents"))
-    hexed = lambda c: F.lower(F.hex(c)).alias(c)
-    return pairs.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), hexed("fingerprint"), hexed("edited_fingerprint"), "near_edited", "near_next")
+    rows = written(pairs.select(F.col("id").alias("doc_id"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("fingerprint").alias("fp"), F.lower(F.hex("fingerprint")).alias("fingerprint"), F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next"), "fingerprints")
+    asks = F.col("doc_id") % 20 == 0
+    near = counts_within(rows.where(asks), rows).withColumnRenamed("fp", "qfp")
+    asked = rows.where(asks).join(near, F.col("fp") == F.col("qfp"), "left").withColumn("n_near", F.coalesce(F.col("n") - 1, F.lit(0)))
+    rest = rows.where(~F.coalesce(asks, F.lit(False))).withColumn("n_near", F.lit(None).cast("long"))
+    return asked.select(rest.columns).unionByName(rest).drop("fp")

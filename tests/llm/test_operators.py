@@ -337,6 +337,15 @@ def test_neighbours_equal_brute_force(spark):
     want = {(i, j, (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()) for i, a in fps if a for j, b in fps if b and i != j and (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= 8}
     for bucket in (20_000, 3):
         assert {tuple(r) for r in simhash_index.neighbours(df, df, 8, bucket).collect()} == want
+        got = {bytes(r.fp): r.n for r in simhash_index.counts_within(df.where("id % 5 = 0"), df, 8, bucket).collect()}
+        assert got == {f: 1 + sum(i == k for i, _, _ in want) for k, f in fps if f and k % 5 == 0}
+    assert simhash_index.neighbours(df.where("id < 0"), df).count() == 0
+
+
+def test_fingerprint_query(spark, tmp_path):
+    got = simhash_index.op6_fingerprints(spark, saved(tmp_path, documents=docs(spark, [*ODD, (20, "same text here for two rows"), (40, "quite another text"), (60, None)]))).collect()
+    assert len(got) == len(ODD) + 3 and {r.doc_id: r.n_near for r in got if r.doc_id and r.doc_id % 20 == 0} == {20: 2, 40: 0, 60: 3}
+    assert all(r.n_near is None for r in got if r.doc_id is None or r.doc_id % 20)
 
 
 # --- 7 languages --------------------------------------------------------------------------------------------------
