@@ -28,6 +28,11 @@ def packed(bytes4: Column) -> Column:
     return at(0).bitwiseOR(F.shiftleft(at(1), 8)).bitwiseOR(F.shiftleft(at(2), 16)).bitwiseOR(F.shiftleft(at(3), 24))
 
 
+def byte_in_word(v: Column, position: Column) -> Column:
+    """A signed byte at its place (0 to 3) in a word; the sum of a word's bytes packs it, so packing is an aggregation."""
+    return v.cast("long").bitwiseAND(255) * F.element_at(F.array(*[F.lit(256**k).cast("long") for k in range(4)]), (position + 1).cast("int"))
+
+
 def unpacked(word: Column) -> Column:
     """The four signed bytes of a word."""
     byte = lambda k: F.shiftrightunsigned(word, 8 * k).bitwiseAND(255)

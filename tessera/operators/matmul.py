@@ -19,23 +19,30 @@ def product(a: DataFrame, b: DataFrame, zero: str = "double") -> DataFrame:
 
 
 def tiles(cells: DataFrame, row: str, col: str, height: int, width: int) -> DataFrame:
-    """Cells as dense tiles (rb, cb, rows, cols, flat): row-major arrays of height * width, 0 where there is no cell; rows and cols reach to the last cell."""
+    """Cells as tiles (rb, cb, rows, cols, cells): the cells of height * width at their row-major places, and how far rows and columns reach."""
     own = cells.groupBy(F.floor(F.col(row) / height).alias("rb"), F.floor(F.col(col) / width).alias("cb"))
-    at = ((F.col(row) % height) * width + F.col(col) % width).cast("int")
-    extent = (F.max(F.col(row) % height) + 1).alias("rows"), (F.max(F.col(col) % width) + 1).alias("cols")
-    return own.agg(*extent, F.map_from_entries(F.collect_list(F.struct(at, "v"))).alias("m")).select("rb", "cb", "rows", "cols", F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda p: F.coalesce(F.element_at("m", p), F.lit(0.0))).alias("flat"))
+    at = ((F.col(row) % height) * width + F.col(col) % width).cast("int").alias("at")
+    return own.agg((F.max(F.col(row) % height) + 1).alias("rows"), (F.max(F.col(col) % width) + 1).alias("cols"), F.collect_list(F.struct(at, "v")).alias("cells"))
+
+
+def filled(cells: pa.Array, size: int) -> np.ndarray:
+    """A tile's cells as its dense values, 0 where there is none."""
+    out = np.zeros(size)
+    out[cells.field("at").to_numpy()] = cells.field("v").to_numpy()
+    return out
 
 
 def tiled_product(a: DataFrame, b: DataFrame, height: int, width: int, depth: int) -> DataFrame:
     """The product by tiles: a tile of A (ib, kb) meets the tiles of B (kb, jb); numpy multiplies a pair, and partial tiles of one (ib, jb) are added up as cells (Spark adds partially before the shuffle). Cells of 0 come too, but none beyond the edges."""
     at, bt = tiles(a, "i", "k", height, depth), tiles(b, "k", "j", depth, width)
-    left = at.select(F.col("rb").alias("ib"), F.col("cb").alias("kb"), "rows", F.col("flat").alias("x"))
-    right = bt.select(F.col("rb").alias("kb"), F.col("cb").alias("jb"), "cols", F.col("flat").alias("y"))
+    left = at.select(F.col("rb").alias("ib"), F.col("cb").alias("kb"), "rows", F.col("cells").alias("x"))
+    right = bt.select(F.col("rb").alias("kb"), F.col("cb").alias("jb"), "cols", F.col("cells").alias("y"))
 
     def multiply(batches):
         for t in batches:
-            for ib, jb, rows, cols, x, y in zip(*(t.column(c).to_pylist() for c in ("ib", "jb", "rows", "cols", "x", "y")), strict=True):
-                c = np.array(x).reshape(height, depth)[:rows] @ np.array(y).reshape(depth, width)[:, :cols]
+            x, y = t.column("x"), t.column("y")
+            for n, (ib, jb, rows, cols) in enumerate(zip(*(t.column(c).to_pylist() for c in ("ib", "jb", "rows", "cols")), strict=True)):
+                c = filled(x[n].values, height * depth).reshape(height, depth)[:rows] @ filled(y[n].values, depth * width).reshape(depth, width)[:, :cols]
                 i, j = np.divmod(np.arange(rows * cols), cols)
                 yield pa.record_batch([pa.array(i + ib * height), pa.array(j + jb * width), pa.array(c.ravel())], ["i", "j", "v"])
 

@@ -11,16 +11,20 @@ from ..storage import table
 U32, SPREAD = 1 << 32, 2654435761
 
 
-def cells(spark: SparkSession, sf_dir: str, first: int, end: int, row: str = "i", col: str = "k") -> DataFrame:
-    """Rows first to end - 1 of the embeddings as cells (row from 0, col, v double). The filter reaches the scan."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").between(first, end - 1))
-    return rows.select((F.col("vec_id") - first).alias(row), F.posexplode("embedding").alias(col, "v")).select(row, F.col(col).cast("long").alias(col), F.col("v").cast("double").alias("v"))
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as cells (k, d, v double): row k is a vector, column d a dimension."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("d", "v"))
+    return rows.select("k", F.col("d").cast("long").alias("d"), F.col("v").cast("double").alias("v"))
 
 
-def vectors(spark: SparkSession, sf_dir: str, first: int, end: int) -> DataFrame:
-    """The same rows as arrays: (i, v array<double>)."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").between(first, end - 1))
-    return rows.select((F.col("vec_id") - first).alias("i"), F.col("embedding").cast("array<double>").alias("v"))
+def transposed_pair(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The transposed matrix (i, k, v) and the matrix (k, j, v), whose product contracts all vectors."""
+    return cells.select(F.col("d").alias("i"), "k", "v"), cells.select("k", F.col("d").alias("j"), "v")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as arrays: (i, v array<double>)."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("v"))
 
 
 def window(cells: DataFrame, row_start: int, rows: int, col_start: int, cols: int, row: str = "i", col: str = "j") -> DataFrame:

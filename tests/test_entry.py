@@ -11,7 +11,7 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def test_flagship(spark):
-    assert entry.entry(spark).count() == 64 * 64
+    assert entry.entry(spark).count() == 64 * 64  # of dimensions
 
 
 def test_sql_belongs_to_queries():
