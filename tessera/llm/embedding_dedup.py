@@ -130,7 +130,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    given = F.col(vector_col) if dict(vectors.dtypes)[vector_col] == "array<float>" else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).alias("id"), given.alias("v"))  # floats move as floats, and are doubles where they are multiplied
     good = rows.where(usable(F.col("v")))
     classes = good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("uid", F.monotonically_increasing_id())
     classes = written(classes, "vectors")
