@@ -7,7 +7,7 @@ to the documents of sf_dir, writing each stage's rows to the shared folder. Coun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, language_id, mixing, secret_scan, simhash_dedup
@@ -29,9 +29,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of linked fingerprints, the one with the smallest id, and of repeated rows one. Documents with a null id can't be told apart by id and all stay."""
     found = simhash_dedup.near_duplicates(docs)
-    keep = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(keep, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    keep = found.where("id = component_id").select(F.lit(False).alias("_none"), F.col("id").alias("_key")).distinct().withColumn("_keep", F.lit(True))
+    none = F.col("doc_id").isNull()
+    keyed = docs.withColumns({"_none": none, "_key": F.coalesce("doc_id", F.xxhash64("text", "source"))})  # null ids are spread by their texts
+    first = F.row_number().over(Window.partitionBy("_none", "_key").orderBy("text", "source", "lang"))
+    named = keyed.join(keep, ["_none", "_key"], "left").where("_none or _keep").withColumn("_first", first)
+    return named.where("_none or _first = 1").select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
