@@ -51,6 +51,16 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def bound_batches(rows: int = 2000, size: str = "8m") -> None:
+    """Arrow batches of at most so many rows and bytes from now on, where the session leaves Spark's defaults: a batch is held several times over, by the
+    executor and by its Python worker, and texts may be long."""
+    spark = SparkSession.getActiveSession()
+    for key, usual, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark and spark.conf.get(name) == usual:
+            spark.conf.set(name, value)
+
+
 def runs(sizes: list[int], rows: int, size: int) -> Iterator[tuple[int, int]]:
     """Stretches of at most `rows` items and of sizes that sum to at most `size`, or of one item."""
     start = total = 0
@@ -68,11 +78,14 @@ def text_udf(make: Callable[[], Callable[[list], pa.Array]], kind, rows: int = 5
     Batches are handled in slices of at most `rows` values and `size` bytes (or one value), which bounds what Python holds
     as objects. Marked nondeterministic only so that Spark never evaluates it twice."""
 
+    bound_batches()
+
     @arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = make()
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch), 0).to_pylist()
+            pa.default_memory_pool().release_unused()
             parts = [work(batch.slice(a, b - a).to_pylist()) for a, b in runs(lengths, rows, size)] or [work([])]
             yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
