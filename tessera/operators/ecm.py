@@ -8,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .numtheory import is_prime, refined
 
-#: What became of a curve: no factor, a factor, a curve that its own construction broke (then without a factor).
-NONE, FACTOR, BAD = 1, 2, 3
+#: What became of a curve: not at its end yet, no factor, a factor, a curve that its own construction broke (then without a factor).
+MORE, NONE, FACTOR, BAD = 0, 1, 2, 3
 LARGEST = 1 << 256
 
 
@@ -39,15 +40,20 @@ def sigma(seed: int, curve: int) -> int:
     return 6 + (x ^ (x >> 31)) % ((1 << 32) - 6)
 
 
-def stage1(n: int, s: int, powers: list[int]) -> tuple[int, int]:
-    """(status, factor) of the curve with parameter s (Suyama's form), multiplied by every power. The factor is 0 unless proper."""
+def opened(n: int, s: int) -> tuple[int, int, tuple[int, int, int] | None]:
+    """(status, factor, state) of the curve with parameter s in Suyama's form; state is its point and constant (x, z, a24), none if the construction already ended it."""
     u, v = (s * s - 5) % n, 4 * s % n
     x, z = pow(u, 3, n), pow(v, 3, n)
     below = 16 * x * v % n
     g = gcd(below, n)
     if g != 1:  # the inverse fails by a divisor
-        return (FACTOR, g) if g < n else (BAD, 0)
-    a24 = pow(v - u, 3, n) * (3 * u + v) * pow(below, -1, n) % n
+        return (FACTOR, g, None) if g < n else (BAD, 0, None)
+    return MORE, 0, (x, z, pow(v - u, 3, n) * (3 * u + v) * pow(below, -1, n) % n)
+
+
+def advanced(n: int, state: tuple[int, int, int], powers: list[int]) -> tuple[int, int, int]:
+    """The state after multiplying its point by each of the powers: a Montgomery ladder each."""
+    x, z, a24 = state
 
     def double(x, z):
         a, b = (x + z) ** 2 % n, (x - z) ** 2 % n
@@ -64,10 +70,26 @@ def stage1(n: int, s: int, powers: list[int]) -> tuple[int, int]:
             else:
                 (x0, z0), x1, z1 = double(x0, z0), xs, zs
         x, z = x0, z0
-    g = gcd(z, n)
+    return x, z, a24
+
+
+def closed(n: int, state: tuple[int, int, int]) -> tuple[int, int]:
+    """(status, factor) of a state: the divisor that its z shares with n, if proper."""
+    g = gcd(state[1], n)
     return (FACTOR, g) if 1 < g < n else (NONE, 0)
 
 
+def stage1(n: int, s: int, powers: list[int]) -> tuple[int, int]:
+    """(status, factor) of the curve with parameter s, multiplied by every power. The factor is 0 unless proper."""
+    status, f, state = opened(n, s)
+    return (status, f) if state is None else closed(n, advanced(n, state, powers))
+
+
+def parsed(n: int | str) -> int:
+    """An integer, or its decimal or 0x-hexadecimal text."""
+    return n if isinstance(n, int) else int(n.strip(), 16 if n.strip().lower().startswith("0x") else 10)
+
+
 def stripped(n: int) -> tuple[int, int]:
     """(odd part, how often 2 divides)."""
     e = (n & -n).bit_length() - 1
@@ -99,6 +121,52 @@ def curves(spark: SparkSession, n: int, b1: int = 50_000, total: int = 1024, chu
     return spark.range(0, total, 1, parts).mapInArrow(run, kind)
 
 
+def resumed(spark: SparkSession, n: int, b1: int = 50_000, total: int = 1024, chunk: int = 256, seed: int = 1, window: int = 1500) -> DataFrame:
+    """The same rows, by passes over windows of prime powers: each pass reads every open curve's state and writes it to the shared folder, so a loss costs one pass of the lost curves."""
+    if not 0 < n < LARGEST:
+        raise ValueError("n must be positive and below 2^256")
+    odd, _ = stripped(n)
+    if odd == 1:
+        return curves(spark, n)
+    powers = exponents(b1)
+    kind = "curve_index long, chunk_index int, sigma string, status int, factor string, x string, z string, a24 string"
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    def batch(rows):
+        types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 4)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def start(batches):
+        for b in batches:
+            rows = []
+            for c in b.column("id").to_pylist():
+                s = sigma(seed, c)
+                status, f, state = opened(odd, s)
+                rows.append((c, c // chunk, str(s), status, str(f) if f else None, *(map(str, state) if state else (None,) * 3)))
+            if rows:
+                yield batch(rows)
+
+    def advance(part, last):
+        def step(batches):
+            for b in batches:
+                rows = []
+                for r in b.to_pylist():
+                    if r["status"] == MORE:
+                        state = advanced(odd, (int(r["x"]), int(r["z"]), int(r["a24"])), part)
+                        status, f = closed(odd, state) if last else (MORE, 0)
+                        r |= {"status": status, "factor": str(f) if f else None, **dict(zip(("x", "z", "a24"), map(str, state), strict=True))}
+                    rows.append(tuple(r[c] for c in names))
+                if rows:
+                    yield batch(rows)
+
+        return step
+
+    state = spark.range(0, total, 1, chunk_count(total, chunk)).mapInArrow(start, kind)
+    for at in range(0, max(1, len(powers)), window):
+        state = written(state.mapInArrow(advance(powers[at : at + window], at + window >= len(powers)), kind), "curves")
+    return state.select("curve_index", "chunk_index", "sigma", "status", "factor")
+
+
 def status_tally(found: DataFrame) -> DataFrame:
     return found.groupBy("status").agg(F.count("*").alias("curves"))
 
@@ -117,3 +185,12 @@ def summary(found: DataFrame, n: int) -> dict:
         if m:
             rows.append({"factor": f, "multiplicity": m, "prime": is_prime(f)})
     return {"n": n, "factors": rows, "hits": hits, "cofactor": left, "cofactor_prime": is_prime(left)}
+
+
+def summary_json(found: DataFrame, n: int) -> str:
+    """The summary as JSON, with large integers as text in decimal and hexadecimal."""
+    import json
+
+    s = summary(found, n)
+    both = lambda x: {"decimal": str(x), "hex": hex(x)}
+    return json.dumps({"n": both(n), "factors": [{**both(f["factor"]), "multiplicity": f["multiplicity"], "prime": f["prime"]} for f in s["factors"]], "hits": {str(k): v for k, v in sorted(s["hits"].items())}, "cofactor": {**both(s["cofactor"]), "prime": s["cofactor_prime"]}})

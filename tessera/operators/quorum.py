@@ -62,14 +62,16 @@ def affected(votes: DataFrame, decided: DataFrame, client: int) -> DataFrame:
 
 def assigned(chunks: DataFrame, clients: DataFrame, k: int) -> DataFrame:
     """Each chunk (chunk, framework) to k distinct clients (client, frameworks, capacity, in_flight) that know its framework, the least loaded
-    first: (chunk, replica, client). Clients are few and known, so their list goes to the chunks; ties go to the smaller client.
+    first: (chunk, replica, client). Ties go to the smaller client. A framework's clients are one list, which meets its chunks by an equi-join.
 
     A chunk starts at a place of its own in the list, so that chunks spread over clients."""
     free = clients.where(F.col("in_flight") < F.col("capacity"))
-    ranked = free.groupBy().agg(F.array_sort(F.collect_list(F.struct((F.col("in_flight") / F.greatest("capacity", F.lit(1))).alias("load"), "client", "frameworks"))).alias("list"))
-    fit = chunks.crossJoin(F.broadcast(ranked)).select("chunk", F.filter("list", lambda c: F.array_contains(c["frameworks"], F.col("framework"))).alias("fit"))
+    load = (F.col("in_flight") / F.greatest("capacity", F.lit(1))).alias("load")
+    ranked = free.select(F.explode("frameworks").alias("framework"), load, "client").distinct()
+    lists = ranked.groupBy("framework").agg(F.array_sort(F.collect_list(F.struct("load", "client"))).alias("fit"))
+    fit = chunks.join(lists, "framework").select("chunk", "fit")
     n = F.size("fit")
-    picked = fit.where(n > 0).select("chunk", n.alias("n"), "fit", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), n) - 1)).alias("replica"))
+    picked = fit.select("chunk", n.alias("n"), "fit", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), n) - 1)).alias("replica"))
     return picked.select("chunk", F.col("replica").cast("long").alias("replica"), F.element_at("fit", (F.pmod(F.col("chunk") + F.col("replica"), F.col("n")) + 1).cast("int"))["client"].alias("client"))
 
 

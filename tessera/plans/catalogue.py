@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -432,6 +432,41 @@ def closest_size_file(spark, sf_dir):
     return files.closest_file(f, 25000)
 
 
+@query(f"SELECT chunk, event_id, client, row_number() OVER (PARTITION BY chunk ORDER BY ts, event_id) - 1 AS replica FROM ({VOTES})")
+def replica_numbers(spark, sf_dir):
+    """Each result's number within its chunk."""
+    own = Window.partitionBy("chunk").orderBy("ts", "event_id")
+    return tables.votes(spark, sf_dir).select("chunk", "event_id", "client", (F.row_number().over(own) - 1).cast("long").alias("replica"))
+
+
+@query("SELECT source, count(*) AS payloads, sum(octet_length(encode(text)))::BIGINT AS bytes, max(octet_length(encode(text))) AS largest FROM documents GROUP BY 1")
+def payload_sizes(spark, sf_dir):
+    """Sizes of payloads by where they come from."""
+    size = F.octet_length("text").cast("long")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("payloads"), F.sum(size).alias("bytes"), F.max(size).alias("largest"))
+
+
+@query("SELECT s_suppkey AS task, sum(cpu)::DOUBLE AS cpu, sum(memory)::BIGINT AS memory, count(*) AS processes FROM (SELECT l_suppkey AS s_suppkey, l_quantity AS cpu, l_partkey AS memory FROM lineitem) GROUP BY 1")
+def process_usage(spark, sf_dir):
+    """Usage summed over the processes of each task."""
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("task"), F.col("l_quantity").alias("cpu"), F.col("l_partkey").alias("memory"))
+    return p.groupBy("task").agg(F.sum("cpu").alias("cpu"), F.sum("memory").alias("memory"), F.count("*").alias("processes"))
+
+
+@query("SELECT DISTINCT n, f FROM (SELECT l_orderkey + 1 AS n, l_partkey + 1 AS f FROM lineitem) WHERE f > 1 AND f < n AND n % f = 0")
+def factor_candidates(spark, sf_dir):
+    """Pairs of keys of which the second is a proper factor of the first."""
+    p = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1).alias("n"), (F.col("l_partkey") + 1).alias("f"))
+    return p.where((F.col("f") > 1) & (F.col("f") < F.col("n")) & (F.col("n") % F.col("f") == 0)).distinct()
+
+
+@query("SELECT l_orderkey * 2654435761 AS n, lower(to_hex(l_orderkey * 2654435761)) AS hex, true AS same FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+def hex_round_trip(spark, sf_dir):
+    """Integers as hexadecimal text and back."""
+    n = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2654435761).alias("n")).distinct().withColumn("hex", F.lower(F.hex("n")))
+    return n.select("n", "hex", (F.conv("hex", 16, 10).cast("long") == F.col("n")).alias("same"))
+
+
 # --- metrics ------------------------------------------------------------------------------------------------------
 
 
@@ -591,6 +626,12 @@ def ecm_curves(spark, sf_dir):
     return ecm.curves(spark, (2**61 - 1) * (2**31 - 1), b1=2000, total=64, chunk=8)
 
 
+@query()
+def ecm_resumed(spark, sf_dir):
+    """The same curves by windows of prime powers, their states kept between."""
+    return ecm.resumed(spark, (2**61 - 1) * (2**31 - 1), b1=2000, total=64, chunk=8, window=100)
+
+
 @query()
 def ecm_status_tally(spark, sf_dir):
     """How many curves ended in which state."""

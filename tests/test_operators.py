@@ -180,6 +180,20 @@ def test_curves_find_factors_whatever_the_partitioning(spark):
             ecm.curves(spark, bad)
 
 
+def test_resumed_curves_are_the_same(spark):
+    n = 2 * 65537 * 65539
+    a, b = (sorted(map(tuple, f.collect())) for f in (ecm.curves(spark, n, 200, 24, 8), ecm.resumed(spark, n, 200, 24, 8, window=7)))
+    assert a == b and ecm.resumed(spark, 8).count() == 0
+    assert ecm.parsed(" 0xFF ") == ecm.parsed("255") == ecm.parsed(255) == 255
+
+
+def test_summary_json(spark):
+    import json
+
+    s = json.loads(ecm.summary_json(ecm.curves(spark, 65537 * 65539, 200, 32, 8), 65537 * 65539))
+    assert {f["decimal"] for f in s["factors"]} <= {"65537", "65539"} and s["n"]["hex"] == hex(65537 * 65539)
+
+
 def test_refined_parts_are_coprime():
     parts = numtheory.refined([13, 1255423, 44606434613, 1701021584197])
     assert parts == [13, 269, 359, 1354939, 35531] or sorted(parts) == parts
@@ -217,6 +231,16 @@ def test_binary_files(spark, tmp_path):
     assert files.listing(spark, str(tmp_path)).count() == 3
 
 
+def test_named_files_and_numbers(spark, tmp_path):
+    f = spark.createDataFrame([("/x/1_Q.bin",), ("/x/q.BIN",), ("/x/2_k.bin",), ("/x/3_k.bin",), ("/x/vk.bin",)], "path string")
+    assert {r.name: r.path for r in files.named_files(f, ["Q.bin", "K.bin", "V.bin"]).collect()} == {"Q.bin": "/x/q.BIN", "K.bin": "/x/2_k.bin"}
+    (tmp_path / "n.txt").write_text("4\n 9 \nx\n\n25\n")
+    assert sorted(r.value for r in files.integers_text(spark, str(tmp_path / "n.txt")).collect()) == [4, 9, 25]
+    m = np.arange(6, dtype=float).reshape(2, 3)
+    rows = files.row_bytes(cells(spark, m, "i", "j"), 3).orderBy("i").collect()
+    assert b"".join(bytes(r.raw) for r in rows) == m.astype("<f4").tobytes()
+
+
 def test_generated(spark):
     assert generate.ones_matrix(spark, 3, 2).count() == 6
     s, states = 1, []
