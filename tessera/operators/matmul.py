@@ -52,9 +52,9 @@ def tiled_product(a: DataFrame, b: DataFrame, height: int, width: int, depth: in
 
 def depth_progress(n: int, m: int, k: int, rows: int, cols: int, span: int, spark) -> DataFrame:
     """A row a chunk (ib, jb, kb) of the tiling: its k_span, the sum so far over its output tile, and whether the tile is then complete."""
-    each = lambda size, step: F.explode(F.sequence(F.lit(0), F.lit(-(-size // step) - 1)))
-    grid = spark.range(-(-n // rows)).select(F.col("id").alias("ib"), each(m, cols).cast("long").alias("jb"))
-    grid = grid.select("ib", "jb", each(k, span).cast("long").alias("kb"))
+    each = lambda size, step: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-size // step) - 1).cast("long")))
+    grid = spark.range(-(-n // rows)).select(F.col("id").alias("ib"), each(m, cols).alias("jb"))
+    grid = grid.select("ib", "jb", each(k, span).alias("kb"))
     own = F.least(F.lit(span), k - F.col("kb") * span).cast("long")
     order = Window.partitionBy("ib", "jb").orderBy("kb").rowsBetween(Window.unboundedPreceding, 0)
     return grid.withColumn("k_span", own).withColumn("k_done", F.sum("k_span").over(order)).withColumn("complete", F.col("k_done") >= k)

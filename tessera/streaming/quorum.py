@@ -10,35 +10,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DECIDED = "chunk string, checksum string, event_id long, kind string"
+NAMES = [c.split()[0] for c in DECIDED.split(", ")]
 
 
 def vote_state(k: int, timeout_ms: int | None = None):
     """Per chunk: votes of distinct clients by checksum, and whether it is decided. Emits `accepted` once, `late` for each vote after that, `stuck` when a timeout finds it open.
 
-    Votes of one batch are taken in order of (ts, event_id); state is a list of (checksum, client) pairs, so it is bounded by checksums times clients."""
+    Votes of one batch are taken in order of (ts, event_id); state is a list of client:checksum pairs, so it is bounded by checksums times clients."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (chunk,) = key
-        done, seen = (state.get[0], [tuple(x.split("\x1f")) for x in state.get[1]]) if state.exists else (False, [])
         out = []
         if state.hasTimedOut:
-            if not done:
+            if not state.get[0]:
                 out.append((chunk, None, None, "stuck"))
             state.remove()
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-            for r in rows.itertuples():
+            done, seen = (state.get[0], set(state.get[1])) if state.exists else (False, set())
+            rows = sorted(r for f in frames for r in zip(*(f[c].tolist() for c in ("ts", "event_id", "status", "checksum", "client")), strict=True))
+            for _, event, status, checksum, client in rows:
                 if done:
-                    out.append((chunk, r.checksum, r.event_id, "late"))
-                elif r.status == "ok" and (r.checksum, str(r.client)) not in seen:
-                    seen.append((r.checksum, str(r.client)))
-                    if sum(c == r.checksum for c, _ in seen) >= k:
+                    out.append((chunk, checksum, event, "late"))
+                elif status == "ok":
+                    seen.add(f"{client}:{checksum}")
+                    if sum(x.split(":", 1)[1] == checksum for x in seen) >= k:
                         done = True
-                        out.append((chunk, r.checksum, r.event_id, "accepted"))
-            state.update((done, [] if done else ["\x1f".join(x) for x in seen]))
+                        out.append((chunk, checksum, event, "accepted"))
+            state.update((done, [] if done else sorted(seen)))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["chunk", "checksum", "event_id", "kind"]).astype({"event_id": "Int64"})
+        if out:
+            yield pd.DataFrame(out, columns=NAMES)
 
     return step
 
