@@ -17,24 +17,28 @@ from tessera.llm._shared import fold, table, written
 LEAST_SHARE = 0.2
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, so that no column of it meets a stage's own."""
+    return docs.select(F.struct("*").alias("doc"))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter (null and empty texts too) and those of whose n-grams no language holds LEAST_SHARE. The languages are learned from the labelled rows among docs; without any label no document is rejected but those without a letter."""
     model = language_id.learn(docs.where(fold("doc_id", 4) != 2))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.identify(docs, model, out="_language")
-    return found.where((F.col("_language.lang") != language_id.UNDECIDED) & (F.col("_language.score") >= LEAST_SHARE)).select(docs.columns)
+    found = language_id.identify(packed(docs), model, text_col="doc.text", out="found")
+    return found.where((F.col("found.lang") != language_id.UNDECIDED) & (F.col("found.score") >= LEAST_SHARE)).select("doc.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of linked fingerprints, the one with the smallest id, and of repeated rows one. Documents with a null id can't be told apart by id and all stay."""
     found = simhash_dedup.near_duplicates(docs)
-    keep = found.where("id = component_id").select(F.lit(False).alias("_none"), F.col("id").alias("_key")).distinct().withColumn("_keep", F.lit(True))
-    none = F.col("doc_id").isNull()
-    keyed = docs.withColumns({"_none": none, "_key": F.coalesce("doc_id", F.xxhash64("text", "source"))})  # null ids are spread by their texts
-    first = F.row_number().over(Window.partitionBy("_none", "_key").orderBy("text", "source", "lang"))
-    named = keyed.join(keep, ["_none", "_key"], "left").where("_none or _keep").withColumn("_first", first)
-    return named.where("_none or _first = 1").select(docs.columns)
+    keep = found.where("id = component_id").select(F.lit(False).alias("none"), F.col("id").alias("key")).distinct().withColumn("keep", F.lit(True))
+    keyed = packed(docs).select("doc", F.col("doc.doc_id").isNull().alias("none"), F.coalesce("doc.doc_id", F.xxhash64("doc.text", "doc.source")).alias("key"))  # null ids are spread by their texts
+    first = F.row_number().over(Window.partitionBy("none", "key").orderBy("doc.text", "doc.source", "doc.lang"))
+    named = keyed.join(keep, ["none", "key"], "left").where("none or keep").withColumn("first", first)
+    return named.where("none or first = 1").select("doc.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +49,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mixture of sources takes it: 0, 1 or 2 times. Repeated ids are dealt in step with each other."""
-    copies = mixing.mix(docs).groupBy(F.col("id").alias("doc_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    copies = mixing.mix(docs).groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    taken = packed(docs).join(copies, F.col("doc.doc_id").eqNullSafe(F.col("id")))
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,6 +94,17 @@ def test_odd_rows_and_nothing(spark, tmp_path):
             assert counts == [0] * 5
 
 
+def test_clashing_columns_pass_through(spark, tmp_path):
+    clash = ", ".join(f"{c} string" for c in ("doc", "found", "none", "key", "keep", "first", "copies", "id", "col", "lang_pred", "secret_spans", "component_id", "size"))
+    rows = [(k, f"some words of document {k} and more of them " * 3, "en", "ab"[k % 2], 0, *"mnopqrstuvwxy") for k in range(40)]
+    docs = spark.createDataFrame(rows, f"{KIND}, {clash}")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), "clash")
+        assert docs.columns == [c.split()[0] for c in f"{KIND}, {clash}".split(", ")]
+        assert docs.count() > 0 and all(tuple(r)[5:] == tuple("mnopqrstuvwxy") for r in docs.collect())
+    assert corpus_pipeline.token_stage(spark, docs, str(tmp_path)).where("not round_trip").count() == 0
+
+
 def test_each_null_id_stays(spark, tmp_path):
     rows = [(None, "same words in both of these", "en", "s", 27), (None, "same words in both of these", "en", "s", 27), (3, "same words in both of these", "en", "s", 27), (4, "same words in both of these", "en", "s", 27)]
     got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, KIND), str(tmp_path)).collect()
