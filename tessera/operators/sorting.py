@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,11 @@ def positioned(df: DataFrame, *order: Column | str, pos: str = "pos") -> DataFra
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     ranged = written(numbered.withColumn("_part", F.shiftright("_id", 33).cast("int")), "sorted")
-    counts = dict(ranged.groupBy("_part").count().collect())
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_part")] if before else F.lit(0)
-    return ranged.withColumn(pos, (start + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_id", "_part")
+    counts = sorted(ranged.groupBy("_part").count().collect())
+    before = list(zip([r["_part"] for r in counts], accumulate([r["count"] for r in counts], initial=0)))
+    starts = spark.createDataFrame(before, "_part int, _start long")
+    placed = ranged.join(F.broadcast(starts), "_part")  # a row a partition
+    return placed.withColumn(pos, F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_start")
 
 
 def sorted_u32(df: DataFrame, value: str = "value", ascending: bool = True, tie: tuple[str, ...] = ()) -> DataFrame:
