@@ -1,49 +1,21 @@
-"""What the text operators share: reading tables, the shared work folder, Arrow helpers and hash folds."""
+"""What the text operators share: tables and the work folder of the library, Arrow helpers and hash folds."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-#: ASCII white space as bytes.split() and the contracts' word pattern take it.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Any path that Spark can read; nothing is opened by Python."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+from ..storage import table, work_dir, written
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir if set, else the warehouse on a cluster, else (one machine, as in tests) a temporary folder."""
-    conf = spark.sparkContext.getConf()
-    if shared := conf.get("spark.checkpoint.dir", None):
-        return shared.rstrip("/")
-    if not conf.get("spark.master", "local").split("[")[0] == "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    if work_dir.own is None:
-        own = tempfile.TemporaryDirectory(prefix="tessera-")
-        atexit.register(own.cleanup)
-        work_dir.own = f"file://{own.name}"
-    return work_dir.own
+__all__ = ["WORD", "bound_batches", "fold", "runs", "table", "text_udf", "work_dir", "written"]
 
-
-work_dir.own = None
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends there, and the loss of an executor costs no recomputation."""
-    path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space as bytes.split() and the contracts' word pattern take it.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def fold(id_col: str, modulus: int) -> Column:

@@ -171,17 +171,38 @@ def edited(text: str, after: str) -> str:
 PAIRS = "id long, n_chars long, edited string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
+def placed(ids: pa.Array, cuts: list[int]) -> np.ndarray:
+    """The number of each id's range: the largest ids are in range 0, null ids in the last."""
+    at = len(cuts) - np.searchsorted(np.array(cuts, np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), "left")
+    return np.where(np.asarray(ids.is_null()), len(cuts) + 1, at)
+
+
 def range_udf(cuts: list[int]):
-    """A UDF: id to the number of its range, the largest ids in range 0 and null ids in the last."""
+    """A UDF: id to the number of its range."""
 
     @arrow_udf("int")
     def place(ids: pa.Array) -> pa.Array:
-        at = len(cuts) - np.searchsorted(np.array(cuts, np.int64), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), "left")
-        return pa.array(np.where(np.asarray(ids.is_null()), len(cuts) + 1, at).astype(np.int32))
+        return pa.array(placed(ids, cuts).astype(np.int32))
 
     return place
 
 
+def ahead_udf(cuts: list[int], tops: dict[int, int | None], before: dict[int, int]):
+    """A UDF: id to the range whose last document it follows if it is the first of its own range, else null."""
+    top, to = np.full(len(cuts) + 2, -1, np.int64), np.full(len(cuts) + 2, -1, np.int64)
+    none = np.zeros(len(cuts) + 2, bool)
+    for r, t in tops.items():
+        top[r], none[r], to[r] = t or 0, t is None, before[r]
+
+    @arrow_udf("int")
+    def ahead(ids: pa.Array) -> pa.Array:
+        at, null = placed(ids, cuts), np.asarray(ids.is_null())
+        first = np.where(null, none[at], ~none[at] & (top[at] == ids.fill_null(0).to_numpy(zero_copy_only=False)))
+        return pa.array(to[at].astype(np.int32), mask=~(first & (to[at] >= 0)))
+
+    return ahead
+
+
 def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows id, text, ahead, in order; those with ahead are only what follows the last row."""
     rows: list[tuple] = []
@@ -229,10 +250,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rows.select("id", "text").mapInArrow(in_turn_nothing, PAIRS)
     order = sorted(tops)
     before = dict(zip(order[1:] + order[:1], order, strict=True))  # a range, and the one that its first document follows
-    top = F.create_map(*[F.lit(x) for r in order for x in (r, tops[r])]) if any(t is not None for t in tops.values()) else F.create_map(F.lit(-1), F.lit(0))
-    first = F.col("id").eqNullSafe(top[F.col("range")])
-    moved = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    ahead = rows.where(first).select("id", "text", moved[F.col("range")].alias("range"), F.lit(True).alias("ahead"))
+    ahead = rows.select("id", "text", ahead_udf(cuts, tops, before)("id").alias("range")).where("range is not null").withColumn("ahead", F.lit(True))
     dealt = rows.withColumn("ahead", F.lit(False)).unionByName(ahead)
     ranged = dealt.repartitionById(max(order) + 1, F.col("range")).sortWithinPartitions("ahead", F.col("id").desc_nulls_last(), "text")
     return ranged.select("id", "text", "ahead").mapInArrow(in_turn, PAIRS)
