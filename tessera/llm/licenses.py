@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,7 +72,8 @@ class Index:
         self.grams = [bigrams(t) for _, t in templates]
         if not all(self.grams):
             raise ValueError("a template needs two words at least")
-        self.low, self.high = threshold / (2 - threshold), (2 - threshold) / threshold
+        slack = 1e-9  # so that rounding never prunes a passage that lies on a bound
+        self.low, self.high = threshold / (2 - threshold) * (1 - slack), (2 - threshold) / threshold * (1 + slack)
         self.least = min(len(g) for g in self.grams) * self.low
         self.by_gram: dict[tuple[str, str], list[int]] = {}
         for k, g in enumerate(self.grams):
@@ -80,7 +82,7 @@ class Index:
         self.needles: set[str] = set()
         for g in self.grams:
             # of this many bigrams a match holds one; those with the longest rare words are looked for
-            n = len(g) - max(1, -int(-len(g) * self.low // 1)) + 1
+            n = len(g) - max(1, ceil(len(g) * self.low)) + 1
             ordered = sorted(g, key=lambda x: (-max(map(len, x)), x))
             self.needles |= {max(x, key=lambda w: (len(w), w)) for x in ordered[: max(1, n)]}
         self.sieve = re.compile("(?:" + "|".join(sorted({w.replace("license", "licen[cs]e") for w in self.needles}, key=lambda w: (-len(w), w))) + ")(?![a-z0-9])")
@@ -168,3 +170,31 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.array_max(F.transform("licenses", lambda x: F.struct(x["dice"].alias("dice"), (-x["start"]).alias("before"), x["license"].alias("license"))))
     listed = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_found"), top["license"].alias("license"), F.coalesce(top["dice"], F.lit(0.0)).alias("dice"), listed.alias("licenses"))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: SQL for a text's normalised words and their distinct pairs.
+WORDS_SQL = "regexp_extract_all(replace(lower({0}), 'licence', 'license'), '[a-z0-9]+')"
+PAIRS_SQL = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+OP3_SQL = f"""
+WITH RECURSIVE t AS (SELECT k, license, {PAIRS_SQL} AS g FROM (SELECT k, license, {WORDS_SQL.format("text")} AS w FROM (VALUES {", ".join(f"({k}, {quoted(n)}, {quoted(t)})" for k, (n, t) in enumerate(TEMPLATES))}) v(k, license, text))),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+b AS (SELECT *, a + length(line) AS b, NOT regexp_matches(line, '\\S') AS blank FROM l),
+c AS (SELECT *, sum(blank::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM b),
+s AS (SELECT r, a, b FROM c WHERE NOT blank UNION SELECT r, min(a), max(b) FROM c WHERE NOT blank GROUP BY r, run UNION SELECT r, 0, length(text) FROM d),
+p AS (SELECT r, a, b, {PAIRS_SQL} AS g FROM (SELECT r, a, b, {WORDS_SQL.format("substring(text, (a + 1)::BIGINT, (b - a)::BIGINT)")} AS w FROM s JOIN d USING (r) WHERE a < b)),
+m AS (SELECT r, a, b, k, license, 2 * len(list_intersect(p.g, t.g)) / (len(p.g) + len(t.g)) AS dice FROM p, t WHERE len(p.g) > 0),
+best AS (SELECT r, a, b, max(dice) AS dice, arg_max(license, (dice, -k)) AS license FROM m WHERE dice >= {THRESHOLD} GROUP BY 1, 2, 3),
+q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY dice DESC, b - a DESC, a) AS n FROM best),
+kept(r, n, spans) AS (SELECT DISTINCT r, 0::BIGINT, []::STRUCT(a BIGINT, b BIGINT)[] FROM q UNION ALL
+  SELECT q.r, q.n, CASE WHEN len(list_filter(spans, lambda x: x.a < q.b AND q.a < x.b)) = 0 THEN list_append(spans, {{'a': q.a::BIGINT, 'b': q.b::BIGINT}}) ELSE spans END FROM kept JOIN q ON q.r = kept.r AND q.n = kept.n + 1),
+f AS (SELECT best.* FROM (SELECT r, arg_max(spans, n) AS spans FROM kept GROUP BY r) k JOIN best USING (r) WHERE list_contains(k.spans, {{'a': best.a::BIGINT, 'b': best.b::BIGINT}})),
+o AS (SELECT r, count(*) AS n_found, arg_max(license, (dice, -a, license)) AS license, max(dice) AS dice, string_agg(license || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a) AS licenses FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_found, 0) AS n_found, license, coalesce(dice, 0.0)::DOUBLE AS dice, coalesce(licenses, '') AS licenses FROM d LEFT JOIN o USING (r)
+"""

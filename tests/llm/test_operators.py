@@ -193,11 +193,28 @@ def test_licence_pruning_is_sound():
     """A text that the sieve passes by can't hold a match: take away all its words and see."""
     ix = licenses.index()
     for g in ix.grams:
-        need = -int(-len(g) * ix.low // 1)
+        need = -int(-len(g) * ix.low // 1)  # rounded up
         without = [x for x in g if not any(w in ix.needles for w in x)]
         assert len(without) < need
 
 
+def test_licence_bounds_include_their_ends():
+    ix = licenses.Index((("x", "a b c d e"),), 0.8)
+    assert ix.best("a b c d e f g") == (0.8, "x") and ix.best("a b c d") is not None and ix.best("a b c d e f g h") is None
+
+
+def test_licences_equal_sql(spark, sf, tmp_path):
+    import duckdb
+
+    texts = ["\n".join(t for _, t in licenses.TEMPLATES), "x\n\nReleased under the MIT License.\nReleased under the MIT Licence\n \n" + licenses.TEMPLATES[5][1], None, "", "Released under the MIT License.", *[f"{t[:60]}\n{t[60:]}\n" for _, t in licenses.TEMPLATES]]
+    for at, glob in ((sf, ""), (saved(tmp_path, documents=docs(spark, [*enumerate(texts), (4, texts[4])])), "/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet{glob}'")
+        cur = con.execute(licenses.OP3_SQL)
+        names = [d[0] for d in cur.description]
+        assert sorted(map(str, (tuple(r) for r in licenses.op3_license_scan(spark, at).select(*names).collect()))) == sorted(map(str, cur.fetchall()))
+
+
 def test_licences_odd_rows(spark, tmp_path):
     got = licenses.op3_license_scan(spark, saved(tmp_path, documents=docs(spark, ODD))).collect()
     assert len(got) == len(ODD) and all(r.n_found == 0 and r.licenses == "" for r in got)
