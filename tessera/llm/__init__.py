@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_license_scan": licenses.OP3_SQL, "op9_chat_format": chat_format.OP9_SQL}
+    return {"op3_license_scan": licenses.OP3_SQL, "op4_embedding_dedup": embedding_dedup.OP4_SQL, "op9_chat_format": chat_format.OP9_SQL}

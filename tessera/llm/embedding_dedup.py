@@ -165,3 +165,14 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS MATERIALIZED (SELECT r, e, sqrt(list_dot_product(e, e)) AS size FROM (SELECT r, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0)),
+links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+reach(a, b) AS (SELECT r, r FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
+c AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n ON n.a = v.r
+"""

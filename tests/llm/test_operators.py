@@ -254,6 +254,16 @@ def test_embeddings_equal_brute_force(spark, tmp_path, block):
         assert (got[k].n_links, got[k].component_id) == (degree[k], comp[k]), k
 
 
+def test_embeddings_equal_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    cur = con.execute(embedding_dedup.OP4_SQL)
+    names = [d[0] for d in cur.description]
+    assert sorted(tuple(r) for r in embedding_dedup.op4_embedding_dedup(spark, sf).select(*names).collect()) == sorted(cur.fetchall())
+
+
 def test_embeddings_empty_and_repeated(spark):
     kind = "vec_id long, embedding array<float>"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
