@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import dropped, written
 from .numtheory import is_prime, refined
 
 #: What became of a curve: not at its end yet, no factor, a factor, a curve that its own construction broke (then without a factor).
@@ -163,7 +163,8 @@ def resumed(spark: SparkSession, n: int, b1: int = 50_000, total: int = 1024, ch
 
     state = spark.range(0, total, 1, chunk_count(total, chunk)).mapInArrow(start, kind)
     for at in range(0, max(1, len(powers)), window):
-        state = written(state.mapInArrow(advance(powers[at : at + window], at + window >= len(powers)), kind), "curves")
+        before, state = state, written(state.mapInArrow(advance(powers[at : at + window], at + window >= len(powers)), kind), "curves")
+        dropped(before)
     return state.select("curve_index", "chunk_index", "sigma", "status", "factor")
 
 

@@ -24,11 +24,36 @@ def work_dir(spark: SparkSession) -> str:
     return f"file://{_own[0].name}"
 
 
+#: Paths of the tables that this process has written and not dropped.
+_paths: dict[str, None] = {}
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends there, and the loss of an executor costs no recomputation."""
     path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[path] = None
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, such as those of earlier rounds."""
+    for df in tables:
+        remove(df.sparkSession, getattr(df, "written_at", None))
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Removes every table that this process has written, once no result is to be read."""
+    for path in list(_paths):
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str | None) -> None:
+    if _paths.pop(path, 0) is None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -83,3 +83,16 @@ def test_arrivals_join(spark, tmp_path):
     done = spark.readStream.schema("chunk string, done_ts timestamp, ok boolean").parquet(str(tmp_path / "done"))
     got = run(spark, arrivals_joined(sent, done, "10 minutes"), "arrivals_out")
     assert {(r.chunk, r.code) for r in got} == {("a", 1), ("b", -1)}
+
+
+def test_written_tables_are_dropped(spark):
+    from pathlib import Path
+
+    from tessera import storage
+
+    a, b = (storage.written(spark.range(3), "t") for _ in range(2))
+    at = [Path(x.written_at.removeprefix("file://")) for x in (a, b)]
+    storage.dropped(a, spark.range(1))
+    assert not at[0].exists() and at[1].exists() and b.count() == 3
+    storage.drop_all(spark)
+    assert not at[1].exists()
