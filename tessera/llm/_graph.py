@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import dropped, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,14 +17,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     an error if `rounds` are not enough, rather than return split components."""
     ends = links.where("a is not null and b is not null and a <> b").select("a", "b")
     both = written(ends.union(ends.select("b", "a")).distinct(), "links")
-    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    label = old = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     for _ in range(rounds):
         near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         up = label.select(F.col("node").alias("label"), F.col("label").alias("above"))
         step = written(step.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"), "old"), "labels")
         changed = step.where("label <> old").limit(1).count()
-        label = step.select("node", "label")
+        dropped(old)
+        label, old = step.select("node", "label"), step
         if not changed:
+            dropped(both)
             return label.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -10,9 +10,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..storage import table, work_dir, written
+from ..storage import dropped, table, work_dir, written
 
-__all__ = ["WORD", "bound_batches", "fold", "runs", "table", "text_udf", "work_dir", "written"]
+__all__ = ["WORD", "bound_batches", "dropped", "fold", "runs", "table", "text_udf", "work_dir", "written"]
 
 #: ASCII white space as bytes.split() and the contracts' word pattern take it.
 WORD = r"[^\x20\x09-\x0D]+"

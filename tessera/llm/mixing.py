@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import WORD, table, written
+from ._shared import WORD, dropped, table, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -53,6 +53,7 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, toler
     # where the last document is capped the dual turns flat: the search starts there and keeps a bracket about the solution
     top = groups.groupBy(F.col("source").alias("of")).agg(F.log(cap / F.min("base")).alias("high"))
     dual = targets.select("source", "target").join(top, F.col("source").eqNullSafe(F.col("of"))).select("source", "target", F.lit(-100.0).alias("low"), "high", F.col("high").alias("multiplier"))
+    last: list[DataFrame] = []
     for _ in range(rounds):
         raised = F.col("base") * F.exp("multiplier")
         mixed = F.col("tokens") * F.least(F.lit(cap), raised)
@@ -65,11 +66,14 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, toler
         step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         moved = sums.select("source", "target", low.alias("low"), high.alias("high"), F.when(settled, F.col("multiplier")).otherwise(step).alias("multiplier"), settled.alias("settled"))
         moved = written(moved, "dual")
+        dropped(*last)
+        last = [moved]
         dual = moved.select("source", "target", "low", "high", "multiplier")
         if moved.where("not settled").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("the multipliers did not settle")
+    dropped(groups)
     return dual.select("source", "multiplier")
 
 
