@@ -68,6 +68,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_shuffled_path(spark):
+    path = random.Random(3).sample(range(10, 3010), 3000)
+    rows = [*zip(path, path[1:]), (5, 4), (5, 3)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(path, 10), 3: 3, 4: 3, 5: 3}
+
+
 # --- 1 mixing -----------------------------------------------------------------------------------------------------
 
 
