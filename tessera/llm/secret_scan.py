@@ -44,7 +44,7 @@ _places = [(name, {c: k for k, c in enumerate(letters)}, least) for name, letter
 
 
 def encoding(s: str) -> tuple[str, dict[str, int]] | None:
-    """Name and places of the first alphabet that holds s and is worth testing. Digits alone, and letters of one case without a digit, are numbers and words in any of the small alphabets; letters alone are read as base64."""
+    """Name and places of the first alphabet that holds s, is worth testing and has a least length that s reaches. Digits alone, and letters of one case without a digit, are numbers and words in any of the small alphabets; letters alone are read as base64."""
     digit = any(c.isdigit() for c in s)
     letter = any(c.isalpha() for c in s)
     if not letter:
@@ -52,8 +52,8 @@ def encoding(s: str) -> tuple[str, dict[str, int]] | None:
     for name, place, least in _places:
         if len(place) < 64 and not digit:
             continue
-        if all(c in place for c in s):
-            return (name, place) if len(s) >= least else None
+        if len(s) >= least and all(c in place for c in s):
+            return name, place
     return None
 
 

@@ -308,6 +308,11 @@ def test_random_strings_are_found_and_words_are_not():
     assert all(not secret_scan.spans(f"see {w} there") for w in words)
 
 
+def test_short_strings_go_on_to_the_next_alphabet():
+    assert secret_scan.encoding("Q7ZK2MVX5TBJ3LWY6DRH")[0] == "BASE36" and secret_scan.encoding("Q7ZK2MVX5TBJ3LWY6DRHA5CE")[0] == "base32"
+    assert [k for *_, k in secret_scan.spans("see Q7ZK2MVX5TBJ3LWY6DRH there")] == [3]
+
+
 def test_false_discovery_step_up():
     assert secret_scan.undecided([], [], 0.01) == []
     assert secret_scan.undecided([1e-9, 0.5, 0.004], [20, 20, 20], 0.01) == [False, True, False]
