@@ -1,8 +1,9 @@
 """Secret scans: three fixed patterns, and strings that a battery of randomness tests can't tell from random ones.
 
 Patterns (`assign`, `access`, `hex`) are matched leftmost and without overlap, each kind by itself, and short matches
-dropped. The battery looks at runs of `[A-Za-z0-9+/_-]` outside those matches. For each, the encoding is inferred (the
-first of ENCODINGS whose alphabet holds it), and the tests ask whether its symbols could be drawn uniformly from that
+dropped. The battery looks at runs of `[A-Za-z0-9+/_-]` outside those matches and at the pieces that they fall into at
+`/`, `-`, `_` and `+` in turn, so that a token within a path or behind a name is tested by itself; of strings within each
+other that are kept the longest counts. For each, the encoding is inferred (the first of ENCODINGS whose alphabet holds it), and the tests ask whether its symbols could be drawn uniformly from that
 alphabet: chi-squared tests of uniformity (over classes of symbols, and in the form by equal pairs, which stays sound
 for strings shorter than the alphabet), a test of runs above and below the alphabet's middle, and a serial-correlation test of neighbours. The least
 p-value, corrected for their number, is the string's. Within a document the strings that are *not* random are rejected
@@ -14,6 +15,7 @@ least length, on which the tests would have too little power, aren't looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from math import erfc, sqrt
 
 import pyarrow as pa
@@ -29,6 +31,10 @@ ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+LEAST = 20
+#: For runs that no alphabet holds: stretches in base64, and words and numbers that stand before or behind a token in them.
+STRETCH = re.compile(r"[A-Za-z0-9+/]{20,}")
+PLAIN = re.compile(r"[A-Z]?[a-z]*[0-9]{0,2}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Alphabets in order of preference, with the least length that is tested.
 ENCODINGS = (
@@ -57,6 +63,33 @@ def encoding(s: str) -> tuple[str, dict[str, int]] | None:
     return None
 
 
+def strings(run: str) -> list[tuple[int, int]]:
+    """Distinct spans of what is tested in a run: itself, and its pieces at each separator in turn. A run with signs of both
+    base64 and base64url also has its stretches in base64, whole and without the words of a path around them, since a token in it may hold `/` and `+`."""
+    out = level = {(0, len(run)): None}
+    for sign in "/-_+":
+        if sign in run:
+            cut: dict[tuple[int, int], None] = {}
+            for a, b in level:
+                for piece in run[a:b].split(sign):
+                    if len(piece) >= LEAST:
+                        cut[a, a + len(piece)] = None
+                    a += len(piece) + 1
+            level = cut
+            out = out | level
+    if ("-" in run or "_" in run) and ("/" in run or "+" in run):
+        for m in STRETCH.finditer(run):
+            a, b = m.span()
+            out[a, b] = None
+            while (k := run.find("/", a, b)) >= 0 and PLAIN.fullmatch(run, a, k):
+                a = k + 1
+            while (k := run.rfind("/", a, b)) >= 0 and PLAIN.fullmatch(run, k + 1, b):
+                b = k
+            if b - a >= LEAST:
+                out[a, b] = None
+    return list(out)
+
+
 def two_sided(z: float) -> float:
     return erfc(abs(z) / sqrt(2))
 
@@ -115,6 +148,16 @@ def undecided(p: list[float], lengths: list[int], rate: float) -> list[bool]:
     return out
 
 
+def apart(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest of the spans that overlap, and what is left beside them."""
+    kept: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda s: (s[0] - s[1], s)):
+        k = bisect(kept, (a, b))
+        if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or b <= kept[k][0]):
+            kept.insert(k, (a, b))
+    return kept
+
+
 def spans(text: str | None, rate: float = 0.01) -> list[tuple[int, int, int]]:
     """(start, end, kind's number) of all spans, by start and then kind; code points, end exclusive."""
     if not text:
@@ -129,10 +172,10 @@ def spans(text: str | None, rate: float = 0.01) -> list[tuple[int, int, int]]:
         taken, tests = sorted((a, b) for a, b, _ in found), []
         for m in RUN.finditer(text):
             a, b = m.span()
-            if not any(x < b and a < y for x, y in taken) and (e := encoding(m[0])):
-                tests.append((a, b, battery(m[0], e[1])))
+            if not any(x < b and a < y for x, y in taken):
+                tests += [(a + x, a + y, battery(m[0][x:y], e[1])) for x, y in strings(m[0]) if (e := encoding(m[0][x:y]))]
         keep = undecided([p for *_, p in tests], [b - a for a, b, _ in tests], rate)
-        found += [(a, b, 3) for (a, b, _), k in zip(tests, keep, strict=True) if k]
+        found += [(a, b, 3) for a, b in apart([(a, b) for (a, b, _), k in zip(tests, keep, strict=True) if k])]
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 

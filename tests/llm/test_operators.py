@@ -313,6 +313,26 @@ def test_short_strings_go_on_to_the_next_alphabet():
     assert [k for *_, k in secret_scan.spans("see Q7ZK2MVX5TBJ3LWY6DRH there")] == [3]
 
 
+def test_random_strings_in_paths_are_found():
+    rng = random.Random(8)
+    for name, letters, _ in secret_scan.ENCODINGS:
+        for before, after in (("/user/reset-password/", ""), ("/api/v1/public-keys/", "/edit-me"), ("/user/reset/", "")):
+            found = 0
+            for _ in range(100):
+                text = f"see {before}{''.join(rng.choice(letters) for _ in range(36))}{after} there"
+                a = 4 + len(before)
+                found += sum(max(0, min(y, a + 36) - max(x, a)) for x, y, _ in secret_scan.spans(text)) >= 28
+            assert found >= 85, (name, before)
+    paths = ["https/www/example/com/2024/01/how-to-make-a_cake-in-ten-minutes", "/usr/share/doc/python3-some_library+more/README", "and/or-either/neither_one+the-other/of-them"]
+    assert all(not secret_scan.spans(f"see {p} there") for p in paths)
+
+
+def test_strings_of_a_run():
+    run = "/a-b/" + "x" * 20 + "+" + "y" * 20 + "/c/" + "z" * 19
+    assert {run[a:b] for a, b in secret_scan.strings(run)} == {run, "x" * 20 + "+" + "y" * 20, "x" * 20, "y" * 20, run[3:]}
+    assert secret_scan.apart([(0, 5), (2, 12), (12, 14), (11, 13)]) == [(2, 12), (12, 14)]
+
+
 def test_false_discovery_step_up():
     assert secret_scan.undecided([], [], 0.01) == []
     assert secret_scan.undecided([1e-9, 0.5, 0.004], [20, 20, 20], 0.01) == [False, True, False]
