@@ -1,7 +1,9 @@
 """Licence scans: passages of a text against templates of licence notices by Dice's coefficient over word bigrams.
 
-A text's passages are its lines, its paragraphs (between empty lines) and itself. Text and templates are normalised:
-lower case, words of letters and digits, `licence` as `license`, copyright lines' years and signs dropped. The coefficient of
+A text's passages are its lines, its paragraphs (between empty lines) and itself, which is what the query's SQL compares. With `windows`,
+which the query leaves off since its SQL has none, also stretches of as many words as a template has, wherever they stand: a notice
+within prose, or wrapped over the lines of a comment, is found. Text and templates are normalised:
+lower case, words of letters and digits, `licence` as `license`. The coefficient of
 two sets of bigrams is 2 |A and B| / (|A| + |B|); it can reach t only if |A| lies between |B| t / (2 - t) and |B| (2 - t) / t,
 so a passage meets only the templates whose sizes are within these bounds, and of those only the ones that hold one of its bigrams.
 
@@ -49,6 +51,7 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 WORDS = re.compile(r"[a-z0-9]+")
+LETTERS = re.compile(r"[A-Za-z0-9]+")
 THRESHOLD = 0.8
 
 
@@ -70,6 +73,7 @@ class Index:
             raise ValueError("the threshold must be above 0 and at most 1")
         self.t, self.names = threshold, [n for n, _ in templates]
         self.grams = [bigrams(t) for _, t in templates]
+        self.lengths = [len(words(t)) for _, t in templates]
         if not all(self.grams):
             raise ValueError("a template needs two words at least")
         slack = 1e-9  # so that rounding never prunes a passage that lies on a bound
@@ -107,14 +111,53 @@ class Index:
                 best = d, self.names[k]
         return best
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, start, end) of each passage that matches, by place; of passages within each other the best, and of equals the longest."""
+    def windows(self, text: str) -> Iterator[tuple[str, float, int, int]]:
+        """For each template the stretches that match it: windows of its number of words that begin at one of its bigrams, up to the last of its bigrams within."""
+        place = [(m[0].lower(), *m.span()) for m in LETTERS.finditer(text)]
+        # British spelling as words() reads it
+        own = [w.replace("licence", "license") for w, _, _ in place]
+        hits: dict[int, list[int]] = {}
+        for i, x in enumerate(zip(own, own[1:])):
+            for k in self.by_gram.get(x, ()):
+                hits.setdefault(k, []).append(i)
+        for k, at in hits.items():
+            size, need = len(self.grams[k]), len(self.grams[k]) * self.low
+            inside: dict[tuple[str, str], int] = {}
+            every: dict[tuple[str, str], int] = {}
+            last = end = 0  # the next hit and the next bigram to come in
+            for first, i in enumerate(at):
+                while last < len(at) and at[last] < i + self.lengths[k] - 1:
+                    x = own[at[last]], own[at[last] + 1]
+                    inside[x] = inside.get(x, 0) + 1
+                    last += 1
+                end = max(end, i)
+                stop = at[last - 1] + 1
+                while end < stop:
+                    x = own[end], own[end + 1]
+                    every[x] = every.get(x, 0) + 1
+                    end += 1
+                if len(inside) >= need and (d := 2 * len(inside) / (size + len(every))) >= self.t:
+                    yield self.names[k], d, place[i][1], place[at[last - 1] + 1][2]
+                for j in range(i, min(end, at[first + 1]) if first + 1 < len(at) else end):
+                    x = own[j], own[j + 1]
+                    every[x] -= 1
+                    if not every[x]:
+                        del every[x]
+                x = own[i], own[i + 1]
+                inside[x] -= 1
+                if not inside[x]:
+                    del inside[x]
+
+    def scan(self, text: str | None, windows: bool = False) -> list[tuple[str, float, int, int]]:
+        """(licence, coefficient, start, end) of each passage (and window) that matches, by place; of passages within each other the best, and of equals the longest."""
         if not text or not self.may_match(text):
             return []
         found = []
         for a, b in passages(text):
             if hit := self.best(text[a:b]):
                 found.append((hit[1], hit[0], a, b))
+        if windows:
+            found += self.windows(text)
         found.sort(key=lambda f: (-f[1], f[2] - f[3], f[2]))
         kept: list[tuple[str, float, int, int]] = []
         for f in found:
@@ -148,20 +191,20 @@ def index(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float =
 FOUND = "array<struct<license:string,dice:double,start:int,end:int>>"
 
 
-def scan_udf(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
+def scan_udf(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False):
     """A UDF: text to its licences, an array of (license, dice, start, end). Null and empty texts have none."""
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def make():
         scan = index(templates, threshold).scan
-        return lambda texts: pa.array([[dict(zip(("license", "dice", "start", "end"), f, strict=True)) for f in scan(t)] for t in texts], kind)
+        return lambda texts: pa.array([[dict(zip(("license", "dice", "start", "end"), f, strict=True)) for f in scan(t, windows)] for t in texts], kind)
 
     return text_udf(make, FOUND)
 
 
-def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the licences found in its text added as `out`."""
-    return docs.withColumn(out, scan_udf(templates, threshold)(F.col(text_col)))
+def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
+    """docs with the licences found in its text added as `out`; with windows also those within lines and across them."""
+    return docs.withColumn(out, scan_udf(templates, threshold, windows)(F.col(text_col)))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

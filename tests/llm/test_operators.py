@@ -222,6 +222,29 @@ def test_licences_equal_sql(spark, sf, tmp_path):
         assert sorted(map(str, (tuple(r) for r in licenses.op3_license_scan(spark, at).select(*names).collect()))) == sorted(map(str, cur.fetchall()))
 
 
+def test_licence_windows_find_notices_within_text(spark):
+    gpl = licenses.TEMPLATES[7][1].split()
+    header = "/*\n * Copyright (C) 2020 Jane Doe\n *\n * " + "\n * ".join(" ".join(gpl[k : k + 10]) for k in range(0, len(gpl), 10)) + "\n *\n * It comes WITHOUT ANY WARRANTY of any kind, be it of merchantability or of\n * fitness for some purpose that somebody may have had in mind.\n */"
+    texts = ["The library is small. Licensed under the Apache License, Version 2.0. See the docs for usage.", "Copyright 2020 Jane Doe. Released under the MIT Licence.", header, "no licence"]
+    got = {r.doc_id: [(x.license, t[x.start : x.end]) for t in [texts[r.doc_id]] for x in r.licenses] for r in licenses.scan(docs(spark, list(enumerate(texts))), windows=True).select("doc_id", "licenses").collect()}
+    assert got[0] == [("Apache-2.0", "Licensed under the Apache License, Version 2.0")] and got[1] == [("MIT", "Released under the MIT Licence")] and got[3] == []
+    assert [x for x, _ in got[2]] == ["GPL-3.0"] and licenses.words(got[2][0][1]) == licenses.words(" ".join(gpl))
+    assert all(licenses.index().scan(t) == [] for t in texts)  # as the SQL has it
+
+
+def test_licence_windows_score_as_dice(spark, sf):
+    ix, rng = licenses.index(), random.Random(6)
+    for _, t in licenses.TEMPLATES:
+        for drop in (0, 2):
+            words = [w for w in t.split() if rng.random() > drop / 40]
+            text = " ".join(["some words before and then"] + words + ["and more of them, under the license of the work"] + words)
+            found = list(ix.windows(text))
+            assert found or drop
+            for name, d, a, b in found:
+                own = licenses.bigrams(text[a:b])
+                assert any(n == name and d == pytest.approx(2 * len(own & g) / (len(own) + len(g))) for n, g in zip(ix.names, ix.grams, strict=True))
+
+
 def test_licences_odd_rows(spark, tmp_path):
     got = licenses.op3_license_scan(spark, saved(tmp_path, documents=docs(spark, ODD))).collect()
     assert len(got) == len(ODD) and all(r.n_found == 0 and r.licenses == "" for r in got)
