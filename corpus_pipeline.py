@@ -32,12 +32,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of linked fingerprints, the one with the smallest id, and of repeated rows one. Documents with a null id can't be told apart by id and all stay."""
-    found = simhash_dedup.near_duplicates(docs)
-    keep = found.where("id = component_id").select(F.lit(False).alias("none"), F.col("id").alias("key")).distinct().withColumn("keep", F.lit(True))
-    keyed = packed(docs).select("doc", F.col("doc.doc_id").isNull().alias("none"), F.coalesce("doc.doc_id", F.xxhash64("doc.text", "doc.source")).alias("key"))  # null ids are spread by their texts
-    first = F.row_number().over(Window.partitionBy("none", "key").orderBy("doc.text", "doc.source", "doc.lang"))
-    named = keyed.join(keep, ["none", "key"], "left").where("none or keep").withColumn("first", first)
+    """Keeps one document of each class of linked fingerprints, the one with the smallest id, and of repeated rows one. Rows that share an id but not a text are documents of their own. Documents with a null id can't be told apart by id and all stay."""
+    mark = lambda text: F.coalesce(F.xxhash64(text), F.lit(0))
+    keys = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("key"), mark("text").alias("mark"))).alias("row"), "text")
+    found = simhash_dedup.near_duplicates(keys, id_col="row")
+    keep = found.where("id = component_id").select(F.lit(False).alias("none"), "id.key", "id.mark").distinct().withColumn("keep", F.lit(True))
+    keyed = packed(docs).select("doc", F.col("doc.doc_id").isNull().alias("none"), F.coalesce("doc.doc_id", F.xxhash64("doc.text", "doc.source")).alias("key"), mark("doc.text").alias("mark"))  # null ids are spread by their texts
+    first = F.row_number().over(Window.partitionBy("none", "key", "mark").orderBy("doc.text", "doc.source", "doc.lang"))
+    named = keyed.join(keep, ["none", "key", "mark"], "left").where("none or keep").withColumn("first", first)
     return named.where("none or first = 1").select("doc.*")
 
 

@@ -111,6 +111,13 @@ def test_each_null_id_stays(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in got) == ["3", "None", "None"]
 
 
+def test_rows_that_share_an_id_are_told_apart(spark, tmp_path):
+    a, b, c = ("one clean text of its own about gardens", "quite another text which speaks of ships", "a third one that has to do with trains")
+    rows = [(3, b, "en", "s", 40), (3, a, "en", "s", 39), (4, b, "en", "s", 40), (5, c, "en", "s", 38), (5, c, "en", "t", 38), (2, c, "en", "s", 38), (6, None, "en", "s", 0), (6, "", "en", "s", 0)]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, KIND), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id != 6) == [(2, c), (3, a), (3, b)] and sum(r.doc_id == 6 for r in got) == 1
+
+
 def test_unlabelled_documents(spark, tmp_path):
     spark.createDataFrame([(1, "some words", None, None, 10), (2, "12", None, None, 2)], KIND).write.parquet(str(tmp_path / "documents.parquet"))
     assert [r.doc_id for r in corpus_pipeline.language_stage(spark, table(spark, str(tmp_path), "documents"), str(tmp_path)).collect()] == [1]
