@@ -50,10 +50,10 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mixture of sources takes it: 0, 1 or 2 times. Repeated ids are dealt in step with each other."""
-    copies = mixing.mix(docs).groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    taken = packed(docs).join(copies, F.col("doc.doc_id").eqNullSafe(F.col("id")))
-    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
+    """Repeats each document as often as the mixture of sources takes it: 0, 1 or 2 times. Rows are numbered, so that null and repeated ids are documents like any other."""
+    rows = written(packed(docs).withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    copies = mixing.mix(rows, "doc.doc_id", "doc.text", "doc.source", row_col="uid").select("uid", "copies").where("copies > 0")
+    return rows.join(copies, "uid").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

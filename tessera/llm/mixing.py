@@ -93,19 +93,26 @@ def rounded(docs: DataFrame, cap: int = 2) -> DataFrame:
     return run.withColumn("copies", F.when(more & fits, F.col("copies") + 1).when(less & fits, F.col("copies") - 1).otherwise(F.col("copies")))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", base: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, chunk_rows: int = 2000) -> DataFrame:
-    """docs: any columns; base: the base rate of a document (above 0; 1 if not given). Returns id, uid (a number of the row), source, size, source_size, target, rate, copies.
+def dealt(rated: DataFrame, chunk_rows: int = 2000) -> DataFrame:
+    """rated: id, uid, n_docs (of the source). Adds chunk, by the id's hash; rows whose id is null or repeated are spread by uid."""
+    again = rated.where("id is not null").groupBy(F.col("id").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
+    named = rated.where("id is not null").join(again, F.col("id") == F.col("again"), "left").withColumn("spread", F.when(F.col("again").isNotNull(), F.col("uid"))).drop("again")
+    rows = named.unionByName(rated.where("id is null").withColumn("spread", F.col("uid")))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("id", "spread"), F.ceil(F.col("n_docs") / chunk_rows))).drop("spread")  # a null changes no hash
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", base: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, chunk_rows: int = 2000, row_col: str | None = None) -> DataFrame:
+    """docs: any columns; base: the base rate of a document (above 0; 1 if not given). Returns id, uid (a number of the row: row_col, or one of its own), source, size, source_size, target, rate, copies.
 
     Null texts and texts without a word have size 0 and take nothing. Null sources are one source, the last. Null ids are
     dealt like any other. Repeated rows are documents of their own. An empty table gives no rows."""
     q = F.lit(1.0) if base is None else base.cast("double")
-    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), q.alias("base")).withColumn("uid", F.monotonically_increasing_id()), "sizes")
+    sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), q.alias("base"), (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("uid")), "sizes")
     targets = written(source_targets(sizes, weights, share, cap), "targets")
     dual = balanced_rates(sizes, targets, cap)
     of = targets.join(dual.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), "source_size", "n_docs", "target", F.coalesce("multiplier", F.lit(0.0)).alias("multiplier"))
     rated = sizes.join(of, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", F.least(F.lit(float(cap)), F.col("base") * F.exp("multiplier")))
-    dealt = rated.withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_docs") / chunk_rows)))
-    return rounded(dealt, cap).select("id", "uid", "source", "size", "source_size", "target", "rate", "copies")
+    return rounded(dealt(rated, chunk_rows), cap).select("id", "uid", "source", "size", "source_size", "target", "rate", "copies")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,6 +118,23 @@ def test_rows_that_share_an_id_are_told_apart(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in got if r.doc_id != 6) == [(2, c), (3, a), (3, b)] and sum(r.doc_id == 6 for r in got) == 1
 
 
+def test_null_and_repeated_ids_are_mixed_row_by_row(spark, tmp_path):
+    sources = ["a"] * 60 + ["b"] * 25 + ["c"] * 15
+    for ids in ([None] * 100, [7] * 100):
+        rows = [(i, f"ten words of text number {k} are in this row", "en", s, 45) for k, (i, s) in enumerate(zip(ids, sources, strict=True))]
+        docs = spark.createDataFrame(rows, KIND)
+        want = {r.source: r.copies for r in mixing.mix(docs).groupBy("source").agg({"copies": "sum"}).toDF("source", "copies").collect()}
+        got = Counter(r.source for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect())
+        assert got == {s: n for s, n in want.items() if n} and len(set(want.values())) > 1
+
+
+def test_chunks_spread_null_and_repeated_ids(spark):
+    rows = [(i, k, 100) for k, i in enumerate([None] * 100 + [7] * 100 + list(range(100, 200)))]
+    got = mixing.dealt(spark.createDataFrame(rows, "id long, uid long, n_docs long"), 10).collect()
+    most = {name: max(Counter(r.chunk for r in got if has(r.id)).values()) for name, has in (("null", lambda i: i is None), ("repeated", lambda i: i == 7), ("own", lambda i: i is not None and i > 7))}
+    assert len(got) == 300 and max(most.values()) <= 30, most
+
+
 def test_unlabelled_documents(spark, tmp_path):
     spark.createDataFrame([(1, "some words", None, None, 10), (2, "12", None, None, 2)], KIND).write.parquet(str(tmp_path / "documents.parquet"))
     assert [r.doc_id for r in corpus_pipeline.language_stage(spark, table(spark, str(tmp_path), "documents"), str(tmp_path)).collect()] == [1]
