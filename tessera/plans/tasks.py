@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numbers
 from ..operators import attention, ecm, matmul, sorting
 from ..storage import work_dir
 from . import tiling
@@ -29,10 +30,11 @@ class Strategy:
 
 def _matmul(spark, inputs, config):
     a, b = inputs["a"], inputs["b"]
-    cast = {"f32": "float", "f64": "double", "i32": "int", "i64": "long"}[config.get("datatype", "f64")]
-    a, b = (x.withColumn("v", F.col("v").cast(cast)) for x in (a, b))
+    kind = config.get("datatype", "f64")
+    as_kind = {"f16": lambda v: numbers.half(v.cast("double")), "int8": numbers.signed_byte} | {k: lambda v, t=t: v.cast(t) for k, t in (("f32", "float"), ("f64", "double"), ("i32", "int"), ("i64", "long"))}
+    a, b = (x.withColumn("v", as_kind[kind](F.col("v"))) for x in (a, b))
     n, m, k = (config[x] for x in "NMK")
-    whole = cast in ("int", "long")
+    whole = kind in ("i32", "i64", "int8")
     if whole or config.get("form", tiling.form(n, m, k, 1.0)) == "cells":
         return matmul.product(a, b, "long" if whole else "double")
     return matmul.tiled_product(a, b, *tile_shape(config))

@@ -31,6 +31,18 @@ def test_matmul_task(spark, tasks):
         tasks.start(t)
 
 
+def test_matmul_task_of_halves_and_bytes(spark, tasks):
+    rng = np.random.default_rng(2)
+    a, b = rng.uniform(0.5, 1, (3, 5)), rng.uniform(0.5, 1, (5, 2))
+    inputs = {"a": cells(spark, a), "b": cells(spark, b, "k", "j")}
+    cut, byte = lambda x: np.floor(x * 2048) / 2048, lambda x: np.minimum(127, np.floor(x * 127 + 0.5))
+    for extra, want in (({"datatype": "f16"}, cut(a) @ cut(b)), ({"datatype": "f16", "form": "tiles", "tile_size": 2}, cut(a) @ cut(b)), ({"datatype": "int8"}, byte(a) @ byte(b))):
+        t = tasks.submit("matmul", inputs, {"N": 3, "M": 2, "K": 5, **extra}, "product")
+        tasks.start(t).result()
+        assert t.status == "completed", t.error
+        assert np.allclose(dense(tasks.output(t), 3, 2), want, rtol=1e-9)
+
+
 def test_sort_attention_and_curves(spark, tasks):
     seq = spark.createDataFrame(list(enumerate([5, 3, 9, 2**32 - 1])), "pos long, value long")
     x = spark.createDataFrame([(i, [float(i + j) for j in range(4)]) for i in range(3)], "i long, v array<double>")
