@@ -114,6 +114,18 @@ class Model:
         return np.clip((seen - self.false) / (1 - self.false), 0, 1), has, total
 
 
+@dataclass(frozen=True)
+class Models:
+    """More languages than a word has bits: a filter for each 64 of them, in order."""
+
+    languages: tuple[str, ...]
+    parts: tuple[Model, ...]
+
+    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [m.shares(texts) for m in self.parts]
+        return np.concatenate([f[0] for f in found], 1), found[0][1], found[0][2]
+
+
 def places(hashes: np.ndarray, size: int, probes: int) -> Iterator[np.ndarray]:
     """Places by double hashing in a table of a power of two."""
     a, b = hashes >> np.uint64(32), hashes | np.uint64(1)
@@ -136,18 +148,26 @@ def build(found: list[tuple[str, int]], languages: list[str], probes: int = 3, b
     return Model(tuple(languages), masks, probes, full**probes)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, grams_kept: int = 20_000, ratio: float = 0.2) -> Model:
+def build_all(found: list[tuple[str, int]], languages: list[str]) -> Model | Models:
+    """build() for any number of languages."""
+    if len(languages) <= 64:
+        return build(found, languages)
+    cuts = [languages[k : k + 64] for k in range(0, len(languages), 64)]
+    place = {lang: k // 64 for k, lang in enumerate(languages)}
+    own: list[list[tuple[str, int]]] = [[] for _ in cuts]
+    for x in found:
+        own[place[x[0]]].append(x)
+    return Models(tuple(languages), tuple(build(f, c) for f, c in zip(own, cuts, strict=True)))
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, grams_kept: int = 20_000, ratio: float = 0.2) -> Model | Models:
     """docs: the rows that may be learned from; those without text or label are passed by. Languages are taken in order of their names."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("a word holds 64 languages")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not sizes:
         return Model((), np.zeros(1024, np.uint8), 1, np.zeros(0))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, sample_docs / n)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, sample_docs / n)) for lang, n in sizes.items()], "lang string, share double")
+    sample = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,10 +182,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     of_lang, of_gram = Window.partitionBy("lang"), Window.partitionBy("h")
     rate = counts.withColumn("rate", F.col("n") / F.sum("n").over(of_lang)).withColumn("most", F.max("rate").over(of_gram))
     kept = rate.where(F.col("rate") >= F.col("most") * ratio).where("n > 1 or most = rate").withColumn("k", F.row_number().over(of_lang.orderBy(F.desc("n"), "h"))).where(F.col("k") <= grams_kept)
-    return build([(r.lang, r.h) for r in kept.select("lang", "h").collect()], sorted(sizes))
+    return build_all([(r.lang, r.h) for r in kept.select("lang", "h").collect()], sorted(sizes))
 
 
-def detector(spark: SparkSession, model: Model):
+def detector(spark: SparkSession, model: Model | Models):
     """A UDF: text to (lang, score). lang is the language with the largest corrected share, the first by name among equals, or `und` for texts without a letter (null, empty) and models without a language; score is that share, 0 for `und`."""
     shared = spark.sparkContext.broadcast(model)
 
@@ -187,7 +207,7 @@ def detector(spark: SparkSession, model: Model):
     return text_udf(make, "lang string, score double")
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
+def identify(docs: DataFrame, model: Model | Models, text_col: str = "text", out: str = "language") -> DataFrame:
     """docs with a struct (lang, score) added as `out`."""
     return docs.withColumn(out, detector(docs.sparkSession, model)(F.col(text_col)))
 

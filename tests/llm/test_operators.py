@@ -464,6 +464,14 @@ def test_filter_holds_all_that_was_put_in():
         language_id.build([], [str(k) for k in range(65)])
 
 
+def test_more_languages_than_a_word_has_bits(spark, tmp_path):
+    rng = random.Random(12)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for _ in range(70)]
+    rows = [(10 * k + j, " ".join(rng.sample(words[k], 5)), f"l{k:02d}") for k in range(70) for j in range(8)]
+    got = language_id.op7_language_id(spark, saved(tmp_path, documents=docs(spark, rows))).collect()
+    assert len(got) == len(rows) and np.mean([r.lang_pred == f"l{r.doc_id // 10:02d}" for r in got]) > 0.95
+
+
 def test_pieces_give_the_same_ngrams(monkeypatch):
     text = "Ünïcode wörds und some more, 12 text; " * 40
     whole = Counter(language_id.grams([text])[0].tolist())
