@@ -269,7 +269,7 @@ def attn_scores(spark, sf_dir):
 def attn_softmax(spark, sf_dir):
     """Their softmax by row."""
     x = of_heads(spark, sf_dir)
-    return rounded(attention.softmax(attention.scores(x, x, DK)), "p")
+    return attention.cut(attention.weights(x, x, DK), "p")
 
 
 @query(f"SELECT head, i, d, round(o, 6) + 0.0 AS o FROM ({CONTEXT})")
