@@ -255,7 +255,11 @@ def of_heads(spark, sf_dir) -> DataFrame:
 
 def attended(spark, sf_dir) -> DataFrame:
     x = of_heads(spark, sf_dir)
-    return attention.blocked(x, x, x, DK)
+    return attention.attended(x, x, x, DK)
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    return rows.select("head", "i", F.posexplode("out").alias("d", "o")).withColumn("d", F.col("d").cast("long"))
 
 
 @query(f"SELECT head, i, j, round(score, 6) + 0.0 AS score FROM ({SCORES})")
@@ -275,20 +279,20 @@ def attn_softmax(spark, sf_dir):
 @query(f"SELECT head, i, d, round(o, 6) + 0.0 AS o FROM ({CONTEXT})")
 def attn_context(spark, sf_dir):
     """Values weighted by it, by blocks."""
-    return rounded(attended(spark, sf_dir), "o")
+    return rounded(cells_of(attended(spark, sf_dir)), "o")
 
 
 @query(f"SELECT i AS pos, head * {DK} + d AS c, round(o, 6) + 0.0 AS o FROM ({CONTEXT})")
 def attn_multihead(spark, sf_dir):
     """Heads side by side, as cells."""
-    rows = attention.interleaved(attended(spark, sf_dir), DK)
+    rows = attention.side_by_side(attended(spark, sf_dir))
     return rounded(rows.select("pos", F.posexplode("out").alias("c", "o")).withColumn("c", F.col("c").cast("long")), "o")
 
 
 @query(f"SELECT head, count(*) AS n, round(avg(o), 6) + 0.0 AS mean, round(var_pop(o), 6) + 0.0 AS variance FROM ({CONTEXT}) GROUP BY 1")
 def attn_head_stats(spark, sf_dir):
     """Mean and variance of each head's output."""
-    return rounded(rounded(attention.head_stats(attended(spark, sf_dir)), "mean"), "variance")
+    return rounded(rounded(attention.head_stats(cells_of(attended(spark, sf_dir))), "mean"), "variance")
 
 
 @query("SELECT unnest([4, 5])::BIGINT AS head")

@@ -63,7 +63,7 @@ def _sort(spark, inputs, config):
 def _attention(spark, inputs, config):
     heads, width = config.get("num_heads", 1), config["d_model"]
     q, k, v = (attention.heads(inputs[x], heads, width) for x in "qkv")
-    return attention.interleaved(attention.blocked(q, k, v, width // heads), width // heads)
+    return attention.side_by_side(attention.attended(q, k, v, width // heads))
 
 
 def _ecm(spark, inputs, config):
