@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from ..functions import numbers
 from ..operators import attention, ecm, matmul, metrics, numtheory, quorum, sorting
 from ..sources import files, generate, tables
 from ..sources.tables import LINE_KEY, table
-from ..storage import written
+from ..storage import work_dir
 from ..streaming import quorum as streams
 from . import tiling
 
@@ -647,20 +648,28 @@ def ecm_status_tally(spark, sf_dir):
 
 def replayed(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """What a stream appends until its source is read, as a table in the shared folder."""
-    import uuid
-
-    from ..storage import work_dir
-
     at = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     run = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+#: Batches that events are replayed in, and rows of a file.
+BATCHES, FILE_ROWS = 4, 1_000_000
+
+
 def events_stream(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
-    """Events as files of a folder, read as a stream."""
-    e = written(table(spark, sf_dir, "events").repartitionByRange(4, "ts"), tag)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(e.inputFiles()[0].rsplit("/", 1)[0])
+    """Events as files of a folder, read as a stream. Slices of time are written one after the other, as many files each, and a batch takes a slice: a source
+    gives files in the order of their writing, so that later batches hold later events."""
+    e = table(spark, sf_dir, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = e.select(at.cast("double").alias("at")).approxQuantile("at", [k / BATCHES for k in range(1, BATCHES)], 0.01)
+    files = max(1, round(e.count() / BATCHES / FILE_ROWS))
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    for a, b in zip([None, *cuts], [*cuts, None]):
+        own = e if a is None else e.where(at >= a)
+        (own if b is None else own.where(at < b)).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(f"SELECT chunk, checksum, decided_id AS event_id FROM ({DECIDED}) WHERE checksum IS NOT NULL")

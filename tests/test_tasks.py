@@ -108,3 +108,87 @@ def test_written_tables_are_dropped(spark):
     assert not at[0].exists() and at[1].exists() and b.count() == 3
     storage.drop_all(spark)
     assert not at[1].exists()
+
+
+class Kept:
+    """A bucket's state as Spark keeps it."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.now, self.timeout = None, False, 0, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def stepped(step, state, rows, now=0):
+    """rows: (chunk, checksum, client, tick, event_id, status)."""
+    import pandas as pd
+
+    state.now, state.hasTimedOut = now, rows is None
+    frames = [] if rows is None else [pd.DataFrame(rows, columns=["chunk", "checksum", "client", "tick", "event_id", "status"])]
+    return [tuple(None if pd.isna(x) else x for x in r) for f in step((0,), iter(frames), state) for r in f.itertuples(index=False)]
+
+
+def voted(rows, k):
+    seen, done, out = {}, set(), []
+    for chunk, checksum, client, _, event, status in rows:
+        if chunk in done:
+            out.append((chunk, checksum, event, "late"))
+        elif status == "ok" and checksum is not None:
+            seen.setdefault((chunk, checksum), set()).add(client)
+            if len(seen[chunk, checksum]) == k:
+                done.add(chunk)
+                out.append((chunk, checksum, event, "accepted"))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_batches_of_votes_equal_one_by_one(seed):
+    import random
+
+    from tessera.streaming.quorum import vote_state
+
+    rng, k = random.Random(seed), 1 + seed % 3
+    rows = [(rng.choice("abcdef"), rng.choice(["x", "y", "y", None]), rng.choice(["1", "2", "3", None]), t // 3, t, rng.choice(["ok", "ok", "error"])) for t in range(80)]
+    state, step, got, at = Kept(), vote_state(k), [], 0
+    while at < len(rows):
+        n = rng.randrange(1, 12)
+        got += stepped(step, state, rng.sample(rows[at : at + n], len(rows[at : at + n])))
+        at += n
+    assert sorted(got, key=str) == sorted(voted(rows, k), key=str)
+
+
+def test_idle_chunks_are_stuck_and_old_ones_forgotten():
+    from tessera.streaming.quorum import unpacked, vote_state
+
+    state, step = Kept(), vote_state(2, timeout_ms=100)
+    assert stepped(step, state, [("a", "x", "1", 1, 1, "ok"), ("b", "x", "1", 1, 2, "error")], 1000) == [] and state.timeout == 100
+    assert stepped(step, state, [("a", "y", "2", 2, 3, "ok")], 1060) == []
+    assert stepped(step, state, None, 1100) == [("b", None, None, "stuck")] and state.timeout == 60
+    assert stepped(step, state, None, 1160) == [("a", None, None, "stuck")]
+    state, step = Kept(), vote_state(2, retain=10)
+    assert [r[2:] for r in stepped(step, state, [("a", "x", "1", 1, 1, "ok"), ("a", "x", "2", 2, 2, "ok"), ("b", "x", "1", 8, 3, "ok")])] == [(2, "accepted")]
+    assert stepped(step, state, [("c", "x", "1", 15, 4, "ok")]) == [] and set(unpacked(state.get[0]).chunk) == {"b", "c"}
+    assert stepped(step, state, [("a", "x", "1", 3, 5, "ok")]) == [("a", "x", 5, "late")]
+
+
+def test_queries_over_streams_take_several_batches(spark, sf):
+    from tessera.plans import catalogue
+
+    log = ProgressLog(spark)
+    spark.streams.addListener(log)
+    try:
+        assert catalogue.stream_quorum(spark, sf).count() > 0
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(log)
+    assert sum(r["rows"] > 0 for r in log.table().collect()) >= 4
