@@ -100,18 +100,38 @@ def parsed(formatted: Column) -> Column:
     return F.transform(pieces, lambda x: F.struct(unescaped(role(x)).alias("role"), unescaped(F.substring_index(x, TEXT, -1)).alias("text")))
 
 
+#: Code points of a block that a formatted string is cut into before spans are read from it.
+BLOCK = 4096
+
+
+def read_spans(made: DataFrame, text_col: str = "formatted", spans_col: str = "loss_spans", out: str = "loss_texts") -> DataFrame:
+    """made with what stands in the spans (start, end: code points, end exclusive, in order) of its text added as `out`, an array of strings, unescaped.
+
+    A text is cut into blocks once and a span read from its own blocks, so that reading thousands of spans of one long string takes time in proportion to its length."""
+    blocks = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    cut = made.withColumn("_blocks", blocks)
+
+    def piece(s: Column) -> Column:
+        first, last = F.floor(s["start"] / BLOCK).cast("int"), F.floor((s["end"] - 1) / BLOCK).cast("int")
+        around = F.array_join(F.slice("_blocks", first + 1, F.greatest(last - first + 1, F.lit(1))), "")
+        return unescaped(F.substring(around, (s["start"] - first * BLOCK + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    # blocks are referred to twice, so that they stay a column of their own and aren't cut anew for each span
+    read = F.when(F.size("_blocks") > 0, F.transform(spans_col, piece)).otherwise(F.transform(spans_col, lambda s: F.lit("")))
+    return cut.withColumn(out, read).drop("_blocks")
+
+
 #: The contract's added conversation.
 PROBE = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation, read back from the formatted string: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, expanded_tokens."""
+    """Per conversation, read back from the formatted string: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 (both of what stands under the loss mask), formatted_chars, expanded_tokens."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     made = chat(rows.union(spark.sql("values " + ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in PROBE))))
-    read = made.select("id", "formatted", "loss_turns", "expanded_tokens", parsed(F.col("formatted")).alias("turns"))
+    read = read_spans(made).select("id", "formatted", "expanded_tokens", parsed(F.col("formatted")).alias("turns"), F.array_join("loss_texts", "").alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter(F.arrays_zip("turns", "loss_turns"), lambda z: z["loss_turns"]), lambda z: z["turns"]["text"]), "")
-    read = read.select("id", "formatted", "expanded_tokens", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"))
+    read = read.select("id", "formatted", "expanded_tokens", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), "loss")
     return read.select(
         F.col("id").alias("conv_id"),
         "n_turns",

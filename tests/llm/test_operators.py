@@ -573,6 +573,22 @@ def test_chat_spans_and_empty(spark, sf):
     assert chat_format.chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_loss_is_read_through_the_mask(spark, monkeypatch):
+    """A wrong span shows, spans of many blocks are whole, and code points beyond the first plane count once."""
+    monkeypatch.setattr(chat_format, "BLOCK", 7)
+    made = spark.createDataFrame([(1, "ab😀cdefg[\\.h\\\\ijklmnopq", [(2, 5), (5, 5), (7, 24)]), (2, "", [(0, 0)]), (3, "xyz", [])], "id long, formatted string, loss_spans array<struct<start:long,end:long>>")
+    got = {r.id: r.loss_texts for r in chat_format.read_spans(made).collect()}
+    text = "ab😀cdefg[\\.h\\\\ijklmnopq"
+    assert got == {1: [text[2:5], "", text[7:24].replace("\\.", "").replace("\\\\", "\\")], 2: [""], 3: []}
+
+
+def test_chat_keeps_clashing_columns_apart_and_reads_long_conversations(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} <x> " + "é" * (k % 50), "f", "l", 9, "h") for k in range(6000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, loss_spans string, seq long, body string")
+    r = chat_format.read_spans(chat_format.chat(df)).first()
+    assert r.n_turns == 6000 and r.loss_texts == [t for _, k, _, t, *_ in rows if k % 2]
+
+
 # --- 10 byte pairs ------------------------------------------------------------------------------------------------
 
 
