@@ -1,11 +1,14 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame operations only.
 
 Each document gets a rate r, the number of times it is repeated. Among all rates that give every source its target of
-tokens and stay between 0 and the cap, entropy balancing takes those nearest to the base rates q in token-weighted
-relative entropy, sum size * (r log(r / q) - r + q). The dual is convex with one multiplier a source, and its solution
-is exponentially tilted: r = min(cap, q exp(multiplier)). Newton's iterations raise the dual: each is one aggregation
-over the documents (tokens mixed so far, and the part of them that isn't capped, which is the Hessian's diagonal), so
-what moves is a row a source and what reaches the driver is whether one is left to settle.
+tokens (sum size * r) and stay between 0 and the cap, entropy balancing takes those nearest to the base rates q in relative
+entropy, sum r log(r / q) - r + q over the documents. The dual is convex with one multiplier a source, and its solution is
+exponentially tilted by a document's tokens: r = min(cap, q exp(multiplier * size / scale)), scale being the source's
+token-weighted mean size. Newton's iterations solve the dual; each is one aggregation over the distinct (source, size, base)
+with their counts: tokens mixed so far, and their derivative, the Hessian's diagonal (sources share no document, so it has
+no other entries). The step is taken on the logit of the mixed share of what the cap allows, which is nearly straight in the
+multiplier, within a bracket that every round tightens. What moves is a row a source; what reaches the driver is whether one
+is left to settle. A weighted entropy, sum size * (...), whose tilt is the same for all documents of a source, is an option.
 
 Rates become copies by systematic rounding: within a source, in chunks of about `chunk_rows` documents dealt by a hash
 of the id, documents stand in order of size, and each takes the whole numbers that the running sum of its fractions
@@ -17,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sorting import positioned
 from ._shared import WORD, dropped, table, written
 
 #: Weights of the sources in order, repeating.
@@ -33,8 +37,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     if share > cap:
         raise ValueError("the share must not exceed the cap")
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
+    sums = positioned(sums, F.col("source").asc_nulls_last(), pos="turn")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
     sources = written(sums.select("source", "source_size", "n_docs", weight.alias("weight"), (F.col("source_size") * cap).alias("most")), "sources")
     level = 0.0
     while True:  # every pass caps a source more or is the last; one row comes back
@@ -47,34 +51,54 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return sources.select("source", "source_size", "n_docs", F.least(F.col("weight") * level, "most").alias("target"))
 
 
-def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
-    """sizes: source, size, base (q > 0). targets: source, target. Returns source, multiplier: the dual's solution. Sources without tokens keep multiplier 0."""
-    groups = written(sizes.groupBy("source", "base").agg(F.sum("size").cast("double").alias("tokens")), "groups")
-    # where the last document is capped the dual turns flat: the search starts there and keeps a bracket about the solution
-    top = groups.groupBy(F.col("source").alias("of")).agg(F.log(cap / F.min("base")).alias("high"))
-    dual = targets.select("source", "target").join(top, F.col("source").eqNullSafe(F.col("of"))).select("source", "target", F.lit(-100.0).alias("low"), "high", F.col("high").alias("multiplier"))
-    last: list[DataFrame] = []
+def tilted(base: Column, multiplier: Column, reach: Column, cap: float) -> Column:
+    """min(cap, base exp(multiplier * reach)); the exponent is held where doubles are."""
+    return F.least(F.lit(float(cap)), base * F.exp(F.least(F.lit(700.0), multiplier * reach)))
+
+
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles as decimals, which no order of rows changes, so that reruns agree to the last bit."""
+    return F.sum(x.cast("decimal(28,12)")).cast("double")
+
+
+def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: float = 1e-9, rounds: int = 80, by_size: bool = False) -> DataFrame:
+    """sizes: source, size, base (q > 0). targets: source, target (at most cap times the source's size). Returns source, multiplier, scale: the dual's solution, by_size for plain entropy (r = min(cap, q exp(multiplier * size / scale))), else for token-weighted entropy (r = min(cap, q exp(multiplier))). Sources without tokens keep multiplier 0."""
+    if by_size:
+        counts = sizes.where("size > 0").groupBy("source", "base", "size").agg(F.count("*").alias("n"))
+        groups = written(counts.select("source", "base", (F.col("n") * F.col("size")).cast("double").alias("tokens"), F.col("size").cast("double").alias("size")), "groups")
+    else:
+        groups = written(sizes.where("size > 0").groupBy("source", "base").agg(F.sum("size").cast("double").alias("tokens")).withColumn("size", F.lit(1.0)), "groups")
+    scale = exact_sum(F.col("tokens") * F.col("size")) / exact_sum(F.col("tokens"))
+    # at the multiplier `high` the last document is capped and the dual turns flat
+    own = groups.groupBy(F.col("source").alias("of")).agg(scale.alias("scale"), exact_sum(F.col("tokens")).alias("all"), F.max(F.log(cap / F.col("base")) / F.col("size")).alias("last"))
+    high = F.col("last") * F.col("scale")
+    full = F.col("target") >= F.col("all") * cap * (1 - tolerance)
+    dual = targets.select("source", "target").join(own, F.col("source").eqNullSafe(F.col("of")))
+    dual = written(dual.select("source", "target", "scale", "all", F.lit(None).cast("double").alias("low"), high.alias("high"), F.when(full, high).otherwise(F.least(F.lit(0.0), high)).alias("multiplier")), "dual")
     for _ in range(rounds):
-        raised = F.col("base") * F.exp("multiplier")
-        mixed = F.col("tokens") * F.least(F.lit(cap), raised)
-        slope = F.when(raised <= cap * (1 + 1e-12), mixed).otherwise(0.0)
-        sums = groups.join(dual.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).groupBy("source", "target", "low", "high", "multiplier").agg(F.sum(mixed).alias("mixed"), F.sum(slope).alias("slope"))
+        reach = F.col("size") / F.col("scale")
+        rate = tilted(F.col("base"), F.col("multiplier"), reach, cap)
+        mixed, slope = F.col("tokens") * rate, F.when(rate < cap, F.col("tokens") * rate * reach).otherwise(0.0)
+        each = groups.join(dual.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        sums = each.groupBy("source", "target", "scale", "all", "low", "high", "multiplier").agg(exact_sum(mixed).alias("mixed"), exact_sum(slope).alias("slope"))
+        now, most = F.col("multiplier"), F.col("all") * cap
         gap = F.col("target") - F.col("mixed")
         settled = F.abs(gap) <= tolerance * F.col("target")
-        low, high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("low")), F.when(gap < 0, F.col("multiplier")).otherwise(F.col("high"))
-        newton = F.when(F.col("slope") > 0, F.col("multiplier") + gap / F.col("slope"))
-        step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        moved = sums.select("source", "target", low.alias("low"), high.alias("high"), F.when(settled, F.col("multiplier")).otherwise(step).alias("multiplier"), settled.alias("settled"))
-        moved = written(moved, "dual")
-        dropped(*last)
-        last = [moved]
-        dual = moved.select("source", "target", "low", "high", "multiplier")
+        low, high = F.when(gap > 0, now).otherwise(F.col("low")), F.when(gap < 0, F.least("high", now)).otherwise(F.col("high"))
+        logit = lambda x: F.log(F.col(x) / (most - F.col(x)))  # noqa: E731, B023
+        newton = F.when((F.col("slope") > 0) & (F.col("mixed") < most), now + (logit("target") - logit("mixed")) * F.col("mixed") * (most - F.col("mixed")) / (F.col("slope") * most))
+        inside = (newton < high) & (low.isNull() | (newton > low))
+        step = F.when(inside, newton).when(low.isNull(), 2 * F.least(now, F.lit(0.0)) - 1).otherwise((low + high) / 2)
+        moved = written(sums.select("source", "target", "scale", "all", low.alias("low"), high.alias("high"), F.when(settled, now).otherwise(step).alias("multiplier"), settled.alias("settled")), "dual")
+        dropped(dual)
+        dual = moved
         if moved.where("not settled").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("the multipliers did not settle")
     dropped(groups)
-    return dual.select("source", "multiplier")
+    alone = targets.join(dual.select(F.col("source").alias("of")).withColumn("there", F.lit(True)), F.col("source").eqNullSafe(F.col("of")), "left").where("there is null")
+    return dual.select("source", "multiplier", "scale").unionByName(alone.select("source", F.lit(0.0).alias("multiplier"), F.lit(1.0).alias("scale")))
 
 
 def rounded(docs: DataFrame, cap: int = 2) -> DataFrame:
@@ -104,14 +128,15 @@ def dealt(rated: DataFrame, chunk_rows: int = 2000) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", base: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, chunk_rows: int = 2000, row_col: str | None = None) -> DataFrame:
     """docs: any columns; base: the base rate of a document (above 0; 1 if not given). Returns id, uid (a number of the row: row_col, or one of its own), source, size, source_size, target, rate, copies.
 
-    Null texts and texts without a word have size 0 and take nothing. Null sources are one source, the last. Null ids are
+    Null texts and texts without a word have size 0 and take nothing (the tilt leaves them their base rate). Null sources are one source, the last. Null ids are
     dealt like any other. Repeated rows are documents of their own. An empty table gives no rows."""
     q = F.lit(1.0) if base is None else base.cast("double")
     sizes = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), q.alias("base"), (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("uid")), "sizes")
     targets = written(source_targets(sizes, weights, share, cap), "targets")
-    dual = balanced_rates(sizes, targets, cap)
-    of = targets.join(dual.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), "source_size", "n_docs", "target", F.coalesce("multiplier", F.lit(0.0)).alias("multiplier"))
-    rated = sizes.join(of, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", F.least(F.lit(float(cap)), F.col("base") * F.exp("multiplier")))
+    dual = balanced_rates(sizes, targets, cap, by_size=True)
+    of = written(targets.join(dual.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), "source_size", "n_docs", "target", "multiplier", "scale"), "multipliers")
+    dropped(targets)
+    rated = sizes.join(of, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", tilted(F.col("base"), F.col("multiplier"), F.col("size") / F.col("scale"), cap))
     return rounded(dealt(rated, chunk_rows), cap).select("id", "uid", "source", "size", "source_size", "target", "rate", "copies")
 
 

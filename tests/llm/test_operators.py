@@ -120,6 +120,42 @@ def test_mix_with_base_rates(spark):
         assert abs(sum(r["size"] * min(2.0, r.base * m[s]) for r in sizes.where(F.col("source") == s).collect()) - want[s]) < 1e-3 * want[s]
 
 
+def tilted_by_numpy(size, base, target, cap=2.0):
+    """The multiplier of min(cap, base exp(m size / scale)) by bisection, and the rates."""
+    size, base = np.asarray(size, float), np.asarray(base, float)
+    scale = (size**2).sum() / size.sum()
+    low, high = -1e6, np.log(cap / base[size > 0]).max() / (size[size > 0].min() / scale) + 1
+    for _ in range(400):
+        m = (low + high) / 2
+        rates = np.minimum(cap, base * np.exp(np.minimum(700, m * size / scale)))
+        low, high = (m, high) if (size * rates).sum() < target else (low, m)
+    return rates
+
+
+def test_rates_are_the_entropy_tilt(spark):
+    """Rates of every source equal numpy's, differ within it, and give its target."""
+    rng = random.Random(21)
+    sizes = {s: [int(rng.paretovariate(1.1) * 8) for _ in range(n)] for s, n in (("a", 400), ("b", 90), ("c", 60), ("d", 300), ("e", 1))}
+    rows = [(k, "w " * n, "en", s) for k, (s, n) in enumerate((s, n) for s, own in sizes.items() for n in own)]
+    got = mixing.mix(docs(spark, [*rows, (10**6, None, "en", "a")]), base=F.when(F.col("doc_id") % 3 == 0, 0.7).otherwise(1.2)).collect()
+    for s in sizes:
+        own = sorted((r for r in got if r.source == s and r["size"]), key=lambda r: r.id)
+        target = own[0].target
+        want = tilted_by_numpy([r["size"] for r in own], [0.7 if r.id % 3 == 0 else 1.2 for r in own], target)
+        assert np.allclose([r.rate for r in own], want, rtol=1e-6, atol=1e-9) or target >= 2 * sum(sizes[s]) * (1 - 1e-9), s
+        assert abs(sum(r["size"] * r.rate for r in own) - target) <= 1e-6 * target
+        assert len(own) == 1 or target >= 2 * sum(sizes[s]) * (1 - 1e-9) or len({round(r.rate, 9) for r in own}) > 10
+    assert next(r for r in got if r.id == 10**6).rate == pytest.approx(0.7 if 10**6 % 3 == 0 else 1.2)
+
+
+def test_mix_of_one_hot_id(spark):
+    rows = [(7, "w " * (1 + k % 30), "en", "ab"[k % 5 == 0]) for k in range(500)]
+    got = mixing.mix(docs(spark, rows), chunk_rows=50).collect()
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= 0.01 * own[0].target
+
+
 def test_mix_odd_rows(spark, tmp_path):
     got = mixing.op1_source_mixing(spark, saved(tmp_path, documents=docs(spark, ODD))).collect()
     assert len(got) == len(ODD) and all(r["size"] == 0 and r.taken == 0 for r in got if r.doc_id in (1, 2, 3))
