@@ -330,6 +330,49 @@ def test_embeddings_equal_sql(spark, sf):
     assert sorted(tuple(r) for r in embedding_dedup.op4_embedding_dedup(spark, sf).select(*names).collect()) == sorted(cur.fetchall())
 
 
+def test_cosines_at_the_threshold(spark):
+    """Pairs whose cosine is the threshold itself link, pairs a little below it don't; very large and small vectors keep their angle."""
+    vs = [[float(c) for c in v] for v in ([1, 0, 0, 0, 0], [9, 3, 3, 1, 0], [0, 0, 0, 0, 5], [0, 3, 3, 1.001, 9], [2.0**100, 0, 0, 0, 0], [0, 0, 0, 0, 2.0**-100])]
+    got = {r.id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(list(enumerate(vs)), "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 4: (2, 0), 2: (1, 2), 5: (1, 2), 3: (0, 3)}
+
+
+def test_cells_that_cannot_link_are_passed_by():
+    """On tight clusters next to no vector leaves its cell's blocks; every linked pair of different blocks meets once."""
+    rng = np.random.default_rng(14)
+    centres = embedding_dedup.unit(rng.normal(size=(20, 48)))
+    x = np.repeat(centres, 60, 0) + 0.02 * rng.normal(size=(1200, 48))
+    uid = rng.integers(0, 2**62, 1200)
+    basis = embedding_dedup.principal(x)
+    c = embedding_dedup.centres(embedding_dedup.unit(x) @ basis, 20)
+    plan = embedding_dedup.Plan(basis, c, np.arccos(0.9) + 1e-6)
+    angle = plan.angles(x)
+    cell = angle.argmin(1)
+    size = np.bincount(cell, minlength=len(c))
+    radius = np.array([angle[cell == k, k].max() if size[k] else 0.0 for k in range(len(c))])
+    parts = -(-size // 16)
+    plan = embedding_dedup.Plan(basis, c, plan.reach, radius, np.r_[0, np.cumsum(parts)[:-1]], parts)
+    row, block, side = plan.blocks(uid, x)
+    own = np.full(1200, -1)
+    own[row[side == 0]] = block[side == 0]
+    assert (own >= 0).all() and (side == 1).sum() < 0.15 * 1200 * parts.sum() / 2
+    visits = set(zip(row[side == 1].tolist(), block[side == 1].tolist()))
+    u = embedding_dedup.unit(x)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
+    apart = own[a] != own[b]
+    assert apart.any() and all(((i, own[j]) in visits) + ((j, own[i]) in visits) == 1 for i, j in zip(a[apart].tolist(), b[apart].tolist()))
+
+
+def test_tiles_stop_no_pair_that_links():
+    rng = np.random.default_rng(15)
+    for d in (3, 16, 17, 70):
+        base = rng.normal(size=(30, d))
+        x, y = (base + 0.35 * rng.normal(size=(30, d)) for _ in range(2))
+        basis = embedding_dedup.principal(rng.normal(size=(5, d)))
+        got = embedding_dedup.tile_links(embedding_dedup.Rows(x, basis), embedding_dedup.Rows(y, basis), 0.9)
+        assert set(zip(*map(np.ndarray.tolist, got))) == set(zip(*map(np.ndarray.tolist, np.nonzero(embedding_dedup.unit(x) @ embedding_dedup.unit(y).T >= 0.9))))
+
+
 def test_embeddings_empty_and_repeated(spark):
     kind = "vec_id long, embedding array<float>"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
