@@ -219,7 +219,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.R
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, block_rows: int | None = None, basis_rows: int = 4096) -> DataFrame:
     """vectors: any columns. Returns id, n_links (other rows linked directly), component_id (the smallest id reachable).
 
-    block_rows: vectors of a block about, by default as many as give every core three blocks, but no more than HELD components. Vectors that
+    block_rows: vectors of a block about, by default as many as give every core two blocks, but no more than HELD components. Vectors that
     can't link (see usable) stand alone. Shorter vectors count as padded with zeros. Rows with a null id keep it
     and take the smallest id of their class; repeated rows are rows of their own, linked with each other. An empty table
     gives no rows. Classes of equal vectors are found by the vectors and joined back by 128 bits of their hashes."""
@@ -239,7 +239,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     share = min(1.0, basis_rows / found.n)
     sample = classes.where(F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) < share * (1 << 20)).select("v").limit(2 * basis_rows).toArrow().column("v")
     padded = dense(sample, d) if len(sample) else np.eye(1, d)
-    rows_of = block_rows or max(256, min(-(-found.n // (3 * max(6, spark.sparkContext.defaultParallelism))), HELD // d))
+    rows_of = block_rows or max(256, min(-(-found.n // (2 * max(7, spark.sparkContext.defaultParallelism))), HELD // d))
     basis = principal(padded)
     plan = Plan(basis, centres(unit(padded) @ basis, min(CENTRES, -(-found.n // rows_of))), float(np.arccos(threshold)) + 1e-6)
 
