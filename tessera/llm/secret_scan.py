@@ -1,15 +1,20 @@
 """Secret scans: three fixed patterns, and strings that a battery of randomness tests can't tell from random ones.
 
 Patterns (`assign`, `access`, `hex`) are matched leftmost and without overlap, each kind by itself, and short matches
-dropped. The battery looks at runs of `[A-Za-z0-9+/_-]` outside those matches and at the pieces that they fall into at
+dropped. The battery looks at runs of `[A-Za-z0-9+/_-]` that no match covers, at what matches leave of a run, and at the pieces that these fall into at
 `/`, `-`, `_` and `+` in turn, so that a token within a path or behind a name is tested by itself; of strings within each
-other that are kept the longest counts. For each, the encoding is inferred (the first of ENCODINGS whose alphabet holds it), and the tests ask whether its symbols could be drawn uniformly from that
+other that are kept the longest counts. UUIDs are tested by their digits. For each string, the encoding is inferred (the first of ENCODINGS whose alphabet holds it), and the tests ask whether its symbols could be drawn uniformly from that
 alphabet: chi-squared tests of uniformity (over classes of symbols, and in the form by equal pairs, which stays sound
 for strings shorter than the alphabet), a test of runs above and below the alphabet's middle, and a serial-correlation test of neighbours. The least
-p-value, corrected for their number, is the string's. Within a document the strings that are *not* random are rejected
-at a false-discovery rate, by Benjamini and Hochberg's procedure with weights in proportion to length (long text
-strings give more evidence than short ones); what can't be rejected is a secret. Strings shorter than the encoding's
+p-value, corrected for their number, is the string's. Strings shorter than the encoding's
 least length, on which the tests would have too little power, aren't looked at.
+
+False discoveries are held down in two directions. Within a document, strings are called not random at a false-discovery rate, by
+Benjamini and Hochberg's procedure with weights in proportion to length (long strings give more evidence than
+short ones): that bounds the secrets missed. Over all documents, what is left standing is counted once a distinct string by class of length and by p-value; under
+true randomness p-values are uniform, so twice the number above one half estimates how many are random, and the rest of those reported
+are words that the tests couldn't reject. Where these are more than the share `wrong` by two standard errors, the class's least p-value is
+raised until they aren't (`cuts`): that bounds the reported that aren't secrets. The counts are a bounded table, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from bisect import bisect
 from math import erfc, sqrt
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +47,21 @@ ENCODINGS = (
     ("hex", "0123456789abcdef", 20),
     ("HEX", "0123456789ABCDEF", 20),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24),
+    ("base32 in small letters", "abcdefghijklmnopqrstuvwxyz234567", 24),
+    ("Crockford's base32", "0123456789ABCDEFGHJKMNPQRSTVWXYZ", 24),
+    ("Crockford's base32 in small letters", "0123456789abcdefghjkmnpqrstvwxyz", 24),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz", 20),
     ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 20),
+    ("base58", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", 20),
+    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 20),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 20),
 )
+UUID = re.compile(r"(?<![0-9A-Za-z-])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z-])")
+#: A piece beside a match is tested from this length on, together with the match's nearest characters.
+BESIDE = 16
+#: Classes of length for the counts over all documents, by their largest lengths, and bins of p-values.
+LENGTHS, BINS = (24, 32, 48, 64, 128), 50
 _places = [(name, {c: k for k, c in enumerate(letters)}, least) for name, letters, least in ENCODINGS]
 
 
@@ -112,8 +128,8 @@ def classes(s: str, alphabet: dict[str, int]) -> float:
     return chi_squared(sum((o - e) ** 2 / e for e, o in want), len(want) - 1) if len(want) > 1 else 1.0
 
 
-def battery(s: str, alphabet: dict[str, int]) -> float:
-    """The p-value of s as uniform draws from the alphabet: the least of the tests' p-values times their number."""
+def tests(s: str, alphabet: dict[str, int]) -> list[float]:
+    """p-values of s as uniform draws from the alphabet: classes, equal pairs, runs, neighbours, halves."""
     size, symbols = len(alphabet), [alphabet[c] for c in s]
     n = len(symbols)
     counts: dict[int, int] = {}
@@ -132,6 +148,12 @@ def battery(s: str, alphabet: dict[str, int]) -> float:
     serial = sum((a - mid) * (b - mid) for a, b in zip(symbols, symbols[1:])) / spread
     p.append(two_sided(serial / sqrt(n - 1)))
     p.append(two_sided((ones - n / 2) / (sqrt(n) / 2)))
+    return p
+
+
+def battery(s: str, alphabet: dict[str, int]) -> float:
+    """The p-value of s: the least of the tests' p-values times their number."""
+    p = tests(s, alphabet)
     return min(1.0, len(p) * min(p))
 
 
@@ -158,39 +180,119 @@ def apart(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def spans(text: str | None, rate: float = 0.01) -> list[tuple[int, int, int]]:
-    """(start, end, kind's number) of all spans, by start and then kind; code points, end exclusive."""
+def outside(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What matches (sorted, apart) leave of a run; short pieces reach into the match beside them, up to LEAST characters."""
+    out, at = [], a
+    for x, y in [*taken, (b, b)]:
+        if x - at >= LEAST:
+            out.append((at, x))
+        elif x - at >= BESIDE:
+            need = LEAST - (x - at)
+            if x + need <= b:
+                out.append((at, x + need))
+            elif at - need >= a:
+                out.append((at - need, x))
+        at = max(at, y)
+    return out
+
+
+def found_in(text: str | None, rate: float = 0.01) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
+    """Base spans (start, end, kind's number), and (start, end, p) of the strings that the document's own control of false discoveries leaves standing."""
     if not text:
-        return []
-    found = []
+        return [], []
+    base = []
     low = text.lower()
     if any(w in low for w in WORDS):
-        found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
-    if max(map(len, text.split()), default=0) >= 20:
-        found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
-        found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-        taken, tests = sorted((a, b) for a, b, _ in found), []
-        for m in RUN.finditer(text):
-            a, b = m.span()
-            if not any(x < b and a < y for x, y in taken):
-                tests += [(a + x, a + y, battery(m[0][x:y], e[1])) for x, y in strings(m[0]) if (e := encoding(m[0][x:y]))]
-        keep = undecided([p for *_, p in tests], [b - a for a, b, _ in tests], rate)
-        found += [(a, b, 3) for a, b in apart([(a, b) for (a, b, _), k in zip(tests, keep, strict=True) if k])]
-    return sorted(found, key=lambda s: (s[0], s[2], s[1]))
+        base += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+    if max(map(len, text.split()), default=0) < LEAST:
+        return base, []
+    base += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
+    base += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
+    taken: list[tuple[int, int]] = []  # matches of all kinds, those that overlap as one
+    for x, y in sorted((a, b) for a, b, _ in base):
+        if taken and x < taken[-1][1]:
+            taken[-1] = taken[-1][0], max(y, taken[-1][1])
+        else:
+            taken.append((x, y))
+    ends, seen = [y for _, y in taken], {}
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        k = bisect(ends, a)
+        near = []
+        while k < len(taken) and taken[k][0] < b:
+            near.append(taken[k])
+            k += 1
+        if near and near[0][0] <= a and b <= near[0][1]:
+            continue
+        for c, d in [(a, b), *outside(a, b, near)] if near else [(a, b)]:
+            for x, y in strings(text[c:d]):
+                if (c + x, c + y) not in seen and (e := encoding(text[c + x : c + y])):
+                    seen[c + x, c + y] = battery(text[c + x : c + y], e[1])
+    if "-" in text:
+        for m in UUID.finditer(text):
+            digits = m[0].replace("-", "").lower()
+            seen[m.span()] = battery(digits[:12] + digits[13:16] + digits[17:], _places[0][1])  # without those that name the version
+    keep = undecided([*seen.values()], [b - a for a, b in seen], rate)
+    return base, [(a, b, p) for ((a, b), p), k in zip(seen.items(), keep, strict=True) if k]
+
+
+def length_class(n: int) -> int:
+    return bisect(LENGTHS, n - 1)
+
+
+def spans(text: str | None, rate: float = 0.01, cuts: tuple[float, ...] = ()) -> list[tuple[int, int, int]]:
+    """(start, end, kind's number) of all spans, by start and then kind; code points, end exclusive. cuts: least p-values by class of length."""
+    base, standing = found_in(text, rate)
+    kept = [(a, b) for a, b, p in standing if not cuts or p >= cuts[length_class(b - a)]]
+    return sorted([*base, *((a, b, 3) for a, b in apart(kept))], key=lambda s: (s[0], s[2], s[1]))
+
+
+def uniform(p: float) -> float:
+    """The battery's p-value as one that is about uniform for random strings: what the least of five independent ones would be."""
+    return 1 - (1 - p / 5) ** 5
+
+
+def raised(counts: list[int], wrong: float) -> float:
+    """counts: strings of a class by bins of uniform p-values. The least p-value (of the battery's) at which no more than the share `wrong` of those above it, by two standard errors, are words; 0 if that is so for all of them."""
+    random = 2 * sum(counts[BINS // 2 :])
+    for k in range(BINS // 2):
+        reported = sum(counts[k:])
+        words = reported - random * (1 - k / BINS)
+        if words - 2 * sqrt(max(1, reported + random)) <= wrong * reported:
+            return 5 * (1 - (1 - k / BINS) ** 0.2)
+    return 5 * (1 - 0.5**0.2)
+
+
+def corpus_cuts(docs: DataFrame, text_col: str = "text", rate: float = 0.01, wrong: float = 0.1) -> tuple[float, ...]:
+    """Least p-values by class of length, from all texts of docs: a string counts once, however often it occurs. What comes to the driver is a count for each class and bin."""
+
+    def make():
+        def work(texts):
+            rows = [[(length_class(b - a), min(BINS - 1, int(uniform(p) * BINS)), xxhash.xxh3_64_intdigest(t[a:b]) - (1 << 63)) for a, b, p in found_in(t, rate)[1]] for t in texts]
+            return pa.array([[dict(zip(("size", "bin", "mark"), r, strict=True)) for r in own] for own in rows], kind)
+
+        return work
+
+    kind = pa.list_(pa.struct([("size", pa.int32()), ("bin", pa.int32()), ("mark", pa.int64())]))
+    each = docs.select(F.explode(text_udf(make, "array<struct<size:int,bin:int,mark:long>>")(F.col(text_col))).alias("s")).select("s.*").distinct()
+    counts = [[0] * BINS for _ in range(len(LENGTHS) + 1)]
+    for r in each.groupBy("size", "bin").agg(F.count("*").alias("n")).collect():
+        counts[r["size"]][r.bin] = r.n
+    return tuple(raised(c, wrong) for c in counts)
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def spans_udf(rate: float = 0.01):
+def spans_udf(rate: float = 0.01, cuts: tuple[float, ...] = ()):
     """A UDF: text to its spans, an array of (kind, start, end). Null and empty texts have none."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    return text_udf(lambda: lambda texts: pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans(t, rate)] for t in texts], kind), SPANS)
+    return text_udf(lambda: lambda texts: pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans(t, rate, cuts)] for t in texts], kind), SPANS)
 
 
-def scan(docs: DataFrame, text_col: str = "text", out: str = "secret_spans", rate: float = 0.01) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", out: str = "secret_spans", rate: float = 0.01, cuts: tuple[float, ...] = ()) -> DataFrame:
     """docs with the spans of its text added as `out`."""
-    return docs.withColumn(out, spans_udf(rate)(F.col(text_col)))
+    return docs.withColumn(out, spans_udf(rate, cuts)(F.col(text_col)))
 
 
 def redacted(text: str | None, found: list[tuple[int, int]], mark: str) -> str | None:
@@ -205,9 +307,9 @@ def redacted(text: str | None, found: list[tuple[int, int]], mark: str) -> str |
     return "".join([*parts, text[end:]])
 
 
-def redact_udf(rate: float = 0.01, mark: str = "[secret]"):
+def redact_udf(rate: float = 0.01, mark: str = "[secret]", cuts: tuple[float, ...] = ()):
     """A UDF: text to the text with its secrets replaced. Null stays null."""
-    return text_udf(lambda: lambda texts: pa.array([redacted(t, [(a, b) for a, b, _ in spans(t, rate)], mark) for t in texts], pa.string()), "string")
+    return text_udf(lambda: lambda texts: pa.array([redacted(t, [(a, b) for a, b, _ in spans(t, rate, cuts)], mark) for t in texts], pa.string()), "string")
 
 
 def listed(found: Column) -> Column:
@@ -216,8 +318,9 @@ def listed(found: Column) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random. Texts are read twice: for the counts over all of them, and for the spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan(docs, cuts=corpus_cuts(docs)).select("doc_id", "secret_spans")
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secret_spans", lambda s: s["kind"] != "random")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), count("random"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
