@@ -1,13 +1,14 @@
 """Language identification by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter is an array of words, bit l of each word belonging to language l: one probe of the k places of
+A bit-sliced Bloom filter is an array of words, bits of each word belonging to languages: one probe of the k places of
 an n-gram, and-ed, returns all languages that hold it. Per document and language the hits are counted (popcounts by
 bit), corrected for the filter's false positives, and the largest corrected share decides.
 
 What is learned: n-grams of letters (a letter's neighbours that aren't letters count as a space) of a bounded sample of
-labelled rows, about `sample_docs` documents a language, chosen by a hash of the id. An n-gram goes into the filter of a
-language if its relative frequency there is at least `ratio` of its largest in any language, and if it is among the
-language's `grams` most frequent: so the model's size is bounded by languages times `grams`.
+labelled rows, about `sample_docs` documents a language, chosen by a hash of the id. A language has two slices of the filter: the
+first holds every n-gram of its sample, the second those that are its own, whose relative frequency is at least `ratio` of the
+n-gram's largest in any language. A document's share for a language is the mean of its shares in both: languages that
+share most of their n-grams are told apart by the second, and texts of rare n-grams count by the first.
 """
 
 from __future__ import annotations
@@ -83,12 +84,13 @@ def pieces(text: str) -> Iterator[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """languages: in order of their bits; masks: the filter's words; probes: places for each n-gram; false: each language's rate of false positives."""
+    """languages: in order of their bits; masks: the filter's words; probes: places for each n-gram; false: each bit's rate of false positives; slices: bits of a language, those of a slice side by side."""
 
     languages: tuple[str, ...]
     masks: np.ndarray
     probes: int
     false: np.ndarray
+    slices: int = 1
 
     def holders(self, hashes: np.ndarray) -> np.ndarray:
         """The word of languages that hold each n-gram."""
@@ -100,23 +102,24 @@ class Model:
     def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Corrected share of n-grams of each text by language, whether it has a letter, and its number of n-grams."""
         total, has = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-        hits = np.zeros((len(texts), len(self.languages)), np.int64)
+        hits = np.zeros((len(texts), len(self.false)), np.int64)
         parts = [(k, p) for k, t in enumerate(texts) for p in pieces(t or "")]
         for a, b in runs([len(p) for _, p in parts], 256, PIECE):
             hashes, owner, letter, _ = grams([p for _, p in parts[a:b]])
             text = np.array([k for k, _ in parts[a:b]])
             found, owner = self.holders(hashes), text[owner]
             total += np.bincount(owner, minlength=len(texts))
-            for k in range(len(self.languages)):
+            for k in range(len(self.false)):
                 hits[:, k] += np.bincount(owner[(found >> np.array(k, found.dtype)) & found.dtype.type(1) > 0], minlength=len(texts))
             has[text[letter]] = True
         seen = hits / np.maximum(total, 1)[:, None]
-        return np.clip((seen - self.false) / (1 - self.false), 0, 1), has, total
+        share = np.clip((seen - self.false) / (1 - self.false), 0, 1)
+        return share.reshape(len(texts), self.slices, -1).mean(1), has, total
 
 
 @dataclass(frozen=True)
 class Models:
-    """More languages than a word has bits: a filter for each 64 of them, in order."""
+    """More languages than a word has bits for: a filter for each OF_WORD of them, in order."""
 
     languages: tuple[str, ...]
     parts: tuple[Model, ...]
@@ -133,34 +136,35 @@ def places(hashes: np.ndarray, size: int, probes: int) -> Iterator[np.ndarray]:
         yield ((a + np.uint64(k) * b) & np.uint64(size - 1)).astype(np.int64)
 
 
+def filled(hashes: np.ndarray, words: np.ndarray, languages: list[str], slices: int, probes: int = 3, bits: int = 16) -> Model:
+    """hashes: distinct n-grams; words: the bits of each. The table has at least `bits` words for each n-gram of the bit that has most."""
+    n = slices * len(languages)
+    if n > 64:
+        raise ValueError("a word has 64 bits")
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= n)
+    words = words.astype(kind)
+    held = lambda masks: np.array([np.count_nonzero(masks & kind(1 << k)) for k in range(n)])
+    masks = np.zeros(1 << max(10, int(np.ceil(np.log2(max(1, held(words).max(initial=0)) * bits)))), kind)
+    for p in places(hashes, len(masks), probes):
+        np.bitwise_or.at(masks, p, words)
+    return Model(tuple(languages), masks, probes, (held(masks) / len(masks)) ** probes, slices)
+
+
 def build(found: list[tuple[str, int]], languages: list[str], probes: int = 3, bits: int = 16) -> Model:
-    """found: (language, n-gram hash as a signed long). The table has at least `bits` words for each n-gram of the language that has most."""
-    if len(languages) > 64:
-        raise ValueError("a word holds 64 languages")
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(languages))
-    most = max([1, *(sum(x == lang for x, _ in found) for lang in languages)])
-    masks = np.zeros(1 << max(10, int(np.ceil(np.log2(most * bits)))), kind)
-    for k, lang in enumerate(languages):
-        own = np.array([h for x, h in found if x == lang], np.int64).view(np.uint64)
-        for p in places(own, len(masks), probes):
-            masks[p] |= kind(1 << k)
-    full = np.array([np.count_nonzero(masks & kind(1 << k)) / len(masks) for k in range(len(languages))])
-    return Model(tuple(languages), masks, probes, full**probes)
-
-
-def build_all(found: list[tuple[str, int]], languages: list[str]) -> Model | Models:
-    """build() for any number of languages."""
-    if len(languages) <= 64:
-        return build(found, languages)
-    cuts = [languages[k : k + 64] for k in range(0, len(languages), 64)]
-    place = {lang: k // 64 for k, lang in enumerate(languages)}
-    own: list[list[tuple[str, int]]] = [[] for _ in cuts]
-    for x in found:
-        own[place[x[0]]].append(x)
-    return Models(tuple(languages), tuple(build(f, c) for f, c in zip(own, cuts, strict=True)))
-
-
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, grams_kept: int = 20_000, ratio: float = 0.2) -> Model | Models:
+    """found: (language, n-gram hash as a signed long). A filter of one slice."""
+    place = {lang: k for k, lang in enumerate(languages)}
+    words: dict[int, int] = {}
+    for lang, h in found:
+        words[h] = words.get(h, 0) | 1 << place[lang]
+    return filled(np.array([*words], np.int64).view(np.uint64), np.array([*words.values()], np.uint64), languages, 1, probes, bits)
+
+
+#: Slices of the filter, and languages of a word.
+SLICES = 2
+OF_WORD = 64 // SLICES
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, ratio: float = 0.2) -> Model | Models:
     """docs: the rows that may be learned from; those without text or label are passed by. Languages are taken in order of their names."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
@@ -179,10 +183,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     yield pa.record_batch([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "h", "n"])
 
     counts = sample.mapInArrow(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    languages = sorted(sizes)
+    signed = lambda k: (1 << k) - (1 << 64 if k == 63 else 0)
+    bits = [(lang, k // OF_WORD, signed(k % OF_WORD), signed(k % OF_WORD + len(languages[k // OF_WORD * OF_WORD :][:OF_WORD]))) for k, lang in enumerate(languages)]
+    place = docs.sparkSession.createDataFrame(bits, "lang string, part int, holds long, owns long")
     of_lang, of_gram = Window.partitionBy("lang"), Window.partitionBy("h")
-    rate = counts.withColumn("rate", F.col("n") / F.sum("n").over(of_lang)).withColumn("most", F.max("rate").over(of_gram))
-    kept = rate.where(F.col("rate") >= F.col("most") * ratio).where("n > 1 or most = rate").withColumn("k", F.row_number().over(of_lang.orderBy(F.desc("n"), "h"))).where(F.col("k") <= grams_kept)
-    return build_all([(r.lang, r.h) for r in kept.select("lang", "h").collect()], sorted(sizes))
+    rate = counts.withColumn("rate", F.col("n") / F.sum("n").over(of_lang)).withColumn("most", F.max("rate").over(of_gram)).join(F.broadcast(place), "lang")
+    own = (F.col("rate") >= F.col("most") * ratio) & ((F.col("n") > 1) | (F.col("most") == F.col("rate")))
+    word = F.col("holds").bitwiseOR(F.when(own, F.col("owns")).otherwise(0))
+    words = rate.groupBy("part", "h").agg(F.bit_or(word).alias("word")).toArrow()  # of the sample's n-grams
+    part, h, w = (words.column(c).to_numpy() for c in ("part", "h", "word"))
+    parts = [filled(h[part == k].view(np.uint64), w[part == k].view(np.uint64), languages[k * OF_WORD :][:OF_WORD], SLICES) for k in range(-(-len(languages) // OF_WORD))]
+    return parts[0] if len(parts) == 1 else Models(tuple(languages), tuple(parts))
 
 
 def detector(spark: SparkSession, model: Model | Models):
