@@ -1,11 +1,16 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are labelled rows of label 1; unlabelled web text is a sample of all rows that may be learned from.
+Trusted positives are labelled rows of label 1; unlabelled web text is a sample of all rows that may be learned from. Rows
+labelled 0 are not used: they are there to measure the result.
 With an estimated class prior p, the risk of a scorer g under a loss l is p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]):
 the second part is the risk on negatives, which can't be below 0, and where its estimate on a batch is, the step goes the
 other way and undoes overfitting. The scorer is linear over features of the whole text: how often each run of
-three character classes occurs, repeats of words and lines, lengths. Scores are then put on the scale of the labels (Platt), so that
-the cut at 0.3 is the one that separates the labelled rows best.
+three character classes occurs, repeats of words and lines, lengths.
+
+The prior is a mixture proportion, estimated from positives and unlabelled text alone on a third of the sample that the scorer isn't
+fitted to: above any cut, unlabelled rows are at least p times as frequent as positives, and at the best cut hardly more.
+The scorer is fitted with a first prior of one half, then with the estimate. On the same third, scores are put on the scale of probabilities by the
+logistic risk of positives and unlabelled rows, which is convex in slope and shift and makes the mean score of unlabelled text the prior.
 
 Bounds: `positives` and `unlabelled` rows at about, chosen by a hash of the id, are gathered to fit; all rows are scored.
 """
@@ -101,49 +106,68 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 400, rate:
     return w
 
 
-def scaled(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a sigmoid for which the best cut of raw scores, by errors on labelled rows, lies at CUT."""
-    spread = float(raw.std()) or 1.0
-    slope = 2.0 / spread
-    logit = float(np.log(CUT / (1 - CUT)))
-    if not len(raw) or label.min() == label.max():
-        return slope, logit if not len(raw) else -slope * float(raw.mean()) + (3.0 if label.max() else -3.0)
-    order = np.argsort(raw, kind="stable")
-    r, y = raw[order], label[order]
-    errors = np.r_[0, np.cumsum(y == 1)] + np.r_[np.cumsum((y == 0)[::-1])[::-1], 0]  # below the cut: 1s are wrong
-    best = np.flatnonzero(errors == errors.min())
-    edge = np.r_[r[0] - spread, r, r[-1] + spread]
-    cut = float(np.median((edge[best] + edge[best + 1]) / 2))
-    return slope, logit - slope * cut
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = 2000, unlabelled: int = 3000) -> Model:
-    """docs: the rows that may be learned from; labels: ids with label 0 or 1 (others are passed by; an id with several labels counts by the largest).
-
-    The prior is estimated as the share of label 1 among labelled rows; if no row is labelled 0, as one half. Without positives every score is the same."""
+def mixture_share(pos: np.ndarray, unl: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives in unlabelled text from scores of both: the least ratio of the shares above a cut, where the cut is chosen with the ratio's uncertainty (at the level `doubt`) added, so that a few rows at the top don't decide."""
+    cuts = np.unique(pos)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
+    p, u = above(pos), above(unl)
+    slack = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (pos, unl))
+    best = int(np.argmin((u + slack) / p))
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def calibrated(pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float = 1e-4) -> tuple[float, float]:
+    """Slope and shift of the sigmoid that has the least logistic risk, mean softplus(z) over unlabelled rows less the prior times the mean of z over positives, z = slope * score + shift; by damped Newton steps. Scores are measured in their spread."""
+    spread, mid = float(unl.std()) or 1.0, float(unl.mean())
+    x = np.c_[(unl - mid) / spread, np.ones(len(unl))]
+    at = prior * np.array([((pos - mid) / spread).mean(), 1.0])
+    risk = lambda w: np.logaddexp(0, x @ w).mean() - at @ w + ridge * w[0] ** 2
+    w = np.array([1.0, np.log(prior / (1 - prior))])
+    for _ in range(100):
+        s = sigmoid(x @ w)
+        g = x.T @ s / len(x) - at + 2 * ridge * np.array([w[0], 0])
+        h = (x * (s * (1 - s))[:, None]).T @ x / len(x) + 2 * ridge * np.eye(2)
+        step, t = np.linalg.solve(h, g), 1.0
+        while t > 1e-6 and risk(w - t * step) > risk(w):
+            t /= 2
+        w = w - t * step
+        if np.abs(t * step).max() < 1e-9:
+            break
+    slope = max(float(w[0]), 1e-3) / spread
+    return slope, float(w[1]) - slope * mid
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = 3000, unlabelled: int = 4500) -> Model:
+    """docs: the rows that may be learned from; labels: ids with label 1 (others are passed by; an id with several labels counts by the largest).
+
+    Without positives every score is the same. Rows of one id are drawn together, and those beyond the bound go by the hashes of their texts, so that reruns agree."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(label_col) == 1).groupBy(F.col(id_col).alias("id")).agg(F.lit(1).alias("label"))
     ids = rows.select("id").distinct().join(known, "id", "left")
-    count = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones"), F.count("label").alias("labelled")).first()
-    zeros = count.labelled - count.ones
+    count = ids.agg(F.count("*").alias("n"), F.count("label").alias("ones")).first()
     at = lambda n, of: int(min(1.0, n / max(1, of)) * (1 << 20))
-    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    picked = ids.where(((F.col("label") == 1) & (spot < at(positives, count.ones))) | ((F.col("label") == 0) & (spot < at(positives, zeros))) | (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < at(unlabelled, count.n)))
-    picked = picked.select("id", "label", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < at(unlabelled, count.n)).alias("web"))
+    web = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < at(unlabelled, count.n)
+    picked = ids.where(((F.col("label") == 1) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < at(positives, count.ones))) | web)
+    held = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(3)) == 0
+    picked = picked.select("id", F.col("label").isNotNull().alias("positive"), web.alias("web"), held.alias("held"))
     made = text_udf(lambda: lambda texts: pa.array([x.tobytes() for x in features(texts).astype(np.float16)], pa.binary()), "binary")
-    bound = 2 * (2 * positives + unlabelled)
-    got = rows.join(F.broadcast(picked.limit(bound)), "id").select("id", "label", "web", made(F.col("text")).alias("x")).limit(bound).collect()
+    bound = 2 * (positives + unlabelled)
+    # ids are drawn by a hash, so their number is near positives + unlabelled and the first limit is there to prove the broadcast's size
+    drawn = rows.join(F.broadcast(picked.limit(bound)), "id").select("id", "positive", "web", "held", F.xxhash64("text").alias("mark"), made(F.col("text")).alias("x"))
+    got = drawn.orderBy(F.xxhash64("id", F.lit(3)), "mark", "id").limit(bound).collect()
     got.sort(key=lambda r: (r.id is None, r.id, r.x))
     x = np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32).reshape(-1, N)
-    label = np.array([-1 if r.label is None else r.label for r in got], np.int64)
-    web = np.array([r.web for r in got], bool)
-    prior = count.ones / count.labelled if zeros else 0.5
-    if not (label == 1).any() or not web.any():
-        return Model(np.zeros(N + 1), 1.0, 0.0, prior)
-    w = fit(x[label == 1], x[web], min(max(prior, 0.01), 0.99))
-    model = Model(w, 1.0, 0.0, prior)
-    slope, shift = scaled(model.raw(x[label >= 0]), label[label >= 0])
-    return Model(w, slope, shift, prior)
+    positive, web, held = (np.array([r[c] for r in got], bool) for c in ("positive", "web", "held"))
+    sides = [x[m & h] for h in (~held, held) for m in (positive, web)]
+    if not all(map(len, sides[:2])):
+        return Model(np.zeros(N + 1), 1.0, 0.0, 0.5)
+    if not all(map(len, sides[2:])):  # too few rows to hold some apart
+        sides = sides[:2] * 2
+    model = Model(np.zeros(N + 1), 1.0, 0.0, 0.5)
+    for _ in range(2):
+        model = Model(fit(*sides[:2], model.prior), 1.0, 0.0, model.prior)
+        model = Model(model.weights, 1.0, 0.0, mixture_share(*(model.raw(s) for s in sides[2:])))
+    return Model(model.weights, *calibrated(*(model.raw(s) for s in sides[2:]), model.prior), model.prior)
 
 
 def scorer(spark: SparkSession, model: Model):

@@ -197,6 +197,41 @@ def test_nonnegative_risk():
     assert quality_pu.risk_gradient(huge, pos, pos, 0.99)[0] >= 0
 
 
+def test_risk_equals_its_definition():
+    """Summed row by row, below and above the point where the risk on negatives is held at 0."""
+    from math import exp
+
+    rng = np.random.default_rng(24)
+    loss = lambda g: 1 / (1 + exp(g))
+    pos, unl = rng.normal(0.5, 1, (40, 4)), rng.normal(0, 1, (60, 4))
+    for _ in range(30):
+        w, prior = rng.normal(0, 2, 4), float(rng.uniform(0.1, 0.95))
+        gp, gu = [sum(a * b for a, b in zip(r, w)) for r in pos], [sum(a * b for a, b in zip(r, w)) for r in unl]
+        positive = prior * sum(loss(g) for g in gp) / 40
+        negative = sum(loss(-g) for g in gu) / 60 - prior * sum(loss(-g) for g in gp) / 40
+        assert quality_pu.risk_gradient(w, pos, unl, prior)[0] == pytest.approx(positive + max(0, negative), abs=1e-9)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_and_scale_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(25)
+    ones = rng.random(6000) < prior
+    unl = np.where(ones, rng.normal(2, 1, 6000), rng.normal(-2, 1, 6000))
+    pos = rng.normal(2, 1, 3000)
+    assert abs(quality_pu.mixture_share(pos, unl) - prior) < 0.05
+    slope, shift = quality_pu.calibrated(pos, unl, prior)
+    p = quality_pu.sigmoid(slope * unl + shift)
+    assert abs(p.mean() - prior) < 0.01 and np.mean((p >= 0.3) == ones) > 0.95
+
+
+def test_rows_labelled_0_teach_nothing(spark):
+    rng = random.Random(26)
+    df = docs(spark, [(k, good(rng) if k % 3 else junk(rng)) for k in range(200)] + [(5, "the same id with another text")] * 3)
+    ones = [(k, 1) for k in range(0, 200, 2) if k % 3]
+    a, b = (quality_pu.learn(df, spark.createDataFrame(ones + extra, "doc_id long, quality int")) for extra in ([], [(k, 0) for k in range(0, 200, 6)]))
+    assert np.array_equal(a.weights, b.weights) and (a.slope, a.shift, a.prior) == (b.slope, b.shift, b.prior) and 0.4 < a.prior < 0.9
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     m = quality_pu.learn(docs(spark, ODD), none)
