@@ -45,7 +45,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document and replaces each secret in its text by a mark; n_chars follows the new text."""
-    clean = docs.withColumn("text", secret_scan.redact_udf()(F.col("text")))
+    clean = docs.withColumn("text", secret_scan.redact_udf(cuts=secret_scan.corpus_cuts(docs))(F.col("text")))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
