@@ -62,7 +62,7 @@ def tiled_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GRAM)
 def matmul_gram(spark, sf_dir):
     """The embeddings' transpose by the embeddings: 64 x 64, contracting all vectors."""
-    return rounded(gram(spark, sf_dir))
+    return rounded(matmul.gram(tables.vectors(spark, sf_dir)))
 
 
 @query(f"WITH e AS ({EMB}) SELECT e.d AS i, label::BIGINT AS j, round(sum(e.v), 6) + 0.0 AS v FROM e JOIN embeddings ON k = vec_id GROUP BY 1, 2")
@@ -116,7 +116,7 @@ def bytes_of(spark, sf_dir) -> DataFrame:
 @query(BYTE_GRAM)
 def matmul_int8(spark, sf_dir):
     """The product of signed bytes, summed in integers."""
-    return matmul.product(*tables.transposed_pair(bytes_of(spark, sf_dir)), "long")
+    return matmul.gram(tables.vectors(spark, sf_dir).withColumn("v", F.transform("v", lambda x: numbers.signed_byte(x))), "v", "long")
 
 
 @query(f"SELECT d AS i, k // 4 AS word, sum((q & 255)::BIGINT << (8 * (k % 4))::INTEGER)::BIGINT AS packed FROM ({BYTES}) GROUP BY 1, 2")
@@ -129,10 +129,11 @@ def int8_packed_words(spark, sf_dir):
 @query(BYTE_GRAM)
 def int8_packed_dot(spark, sf_dir):
     """The same product from packed words: each pair of words is unpacked where it is multiplied."""
-    w = int8_packed_words(spark, sf_dir)
-    dot = F.aggregate(F.zip_with(numbers.unpacked(F.col("packed")), numbers.unpacked(F.col("other")), lambda x, y: x * y), F.lit(0), lambda s, x: s + x)
-    pairs = w.join(w.select(F.col("i").alias("j"), "word", F.col("packed").alias("other")), "word")
-    return pairs.groupBy("i", "j").agg(F.sum(dot.cast("long")).alias("v"))
+    w = int8_packed_words(spark, sf_dir).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("i", "packed"))).alias("of"), F.max("i").alias("last"))
+    row = F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda i: numbers.unpacked(F.coalesce(F.try_element_at("of", i), F.lit(0).cast("long"))))
+    lane = lambda k: F.transform("row", lambda b: b[k])
+    lanes = w.select(row.alias("row")).select(F.explode(F.array(*map(lane, range(4)))).alias("v"))
+    return matmul.gram(lanes, "v", "long")
 
 
 HALF = f"""SELECT k, d, CASE WHEN abs(v) < pow(2.0, -14) THEN 0.0 ELSE sign(v) * floor(abs(v) / pow(2.0, e - 10)) * pow(2.0, e - 10) END + 0.0 AS h
@@ -142,7 +143,7 @@ FROM (SELECT *, CASE WHEN v = 0 THEN 0 ELSE floor(log2(abs(v))) END AS e FROM ({
 @query(f"WITH b AS ({HALF}) SELECT x.d AS i, y.d AS j, round(sum(x.h * y.h), 6) + 0.0 AS v FROM b x JOIN b y USING (k) GROUP BY 1, 2")
 def matmul_f16(spark, sf_dir):
     """The product of values cut to half precision."""
-    return rounded(matmul.product(*tables.transposed_pair(tables.cells(spark, sf_dir).withColumn("v", numbers.half(F.col("v"))))))
+    return rounded(matmul.gram(tables.vectors(spark, sf_dir).withColumn("v", F.transform("v", numbers.half))))
 
 
 @query(f"SELECT count(*) AS cells, 0.0::DOUBLE AS max_abs, 0::BIGINT AS beyond FROM ({GRAM})")

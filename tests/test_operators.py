@@ -36,6 +36,27 @@ def test_products_agree_with_numpy(spark):
     assert worst.cells == 99 and worst.beyond == 0 and worst.max_abs < 1e-9
 
 
+def test_gram_in_one_pass(spark):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(50, 6))
+    rows = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,), ([],), ([1.0, None],)], "v array<double>").repartition(3)
+    full = np.vstack([x, [1, 0, 0, 0, 0, 0]])
+    assert np.allclose(dense(matmul.gram(rows), 6, 6), full.T @ full)
+    assert np.array_equal(dense(matmul.gram(rows.selectExpr("transform(v, x -> cast(x * 10 as int)) as v"), "v", "long"), 6, 6), np.trunc(full * 10).T @ np.trunc(full * 10))
+    assert matmul.gram(rows.where("false")).count() == 0
+
+
+def test_tiles_of_sparse_and_uneven_matrices(spark):
+    rng = np.random.default_rng(32)
+    a, b = (rng.normal(size=s) * (rng.random(s) < 0.3) for s in ((13, 29), (29, 8)))
+    few = lambda m, row, col: cells(spark, m, row, col).where("v <> 0")
+    for shape in ((5, 3, 4), (50, 50, 50), (1, 8, 2)):
+        got = matmul.tiled_product(few(a, "i", "k"), few(b, "k", "j"), *shape)
+        assert np.allclose(dense(got, 13, 8), a @ b)
+    none = spark.createDataFrame([], "k long, j long, v double")
+    assert matmul.tiled_product(few(a, "i", "k"), none, 4, 4, 4).count() == 0
+
+
 def test_product_of_empty_tables(spark):
     none = spark.createDataFrame([], "i long, k long, v double")
     assert matmul.product(none, none.select("k", F.col("i").alias("j"), "v")).count() == 0
