@@ -96,15 +96,24 @@ def stripped(n: int) -> tuple[int, int]:
     return n >> e, e
 
 
+def without(n: int, small: tuple[int, ...] = (2,)) -> tuple[int, dict[int, int]]:
+    """What is left of n when each of the small primes has been divided out, and how often each did."""
+    found = {}
+    for p in small:
+        while n % p == 0:
+            n, found[p] = n // p, found.get(p, 0) + 1
+    return n, found
+
+
 def chunk_count(curves: int, chunk: int) -> int:
     return -(-curves // chunk)
 
 
-def curves(spark: SparkSession, n: int, b1: int = 50_000, total: int = 1024, chunk: int = 256, seed: int = 1) -> DataFrame:
-    """A row a curve: curve_index, chunk_index, sigma, status, factor (decimal strings). n is positive and below 2^256; powers of 2 are divided out first, and if 1 is left there is no curve."""
+def curves(spark: SparkSession, n: int, b1: int = 50_000, total: int = 1024, chunk: int = 256, seed: int = 1, small: tuple[int, ...] = (2,)) -> DataFrame:
+    """A row a curve: curve_index, chunk_index, sigma, status, factor (decimal strings). n is positive and below 2^256; the small primes (2 among them) are divided out first, and if 1 is left there is no curve."""
     if not 0 < n < LARGEST:
         raise ValueError("n must be positive and below 2^256")
-    odd, _ = stripped(n)
+    odd, _ = without(n, (2, *small))
     kind = "curve_index long, chunk_index int, sigma string, status int, factor string"
     if odd == 1:
         return spark.createDataFrame([], kind)
@@ -168,6 +177,17 @@ def resumed(spark: SparkSession, n: int, b1: int = 50_000, total: int = 1024, ch
     return state.select("curve_index", "chunk_index", "sigma", "status", "factor")
 
 
+def packed_curves(found: DataFrame) -> DataFrame:
+    """(curve_index, raw): each curve as nine little-endian 32-bit words, the eight limbs of its factor (0 if none) and its status. Rows in order of the index are the headerless file (files.write_file)."""
+
+    def pack(batches):
+        for b in batches:
+            raw = [int(f or 0).to_bytes(32, "little") + s.to_bytes(4, "little") for f, s in zip(b.column("factor").to_pylist(), b.column("status").to_pylist(), strict=True)]
+            yield pa.record_batch([b.column("curve_index"), pa.array(raw, pa.binary())], ["curve_index", "raw"])
+
+    return found.select("curve_index", "factor", "status").mapInArrow(pack, "curve_index long, raw binary")
+
+
 def status_tally(found: DataFrame) -> DataFrame:
     return found.groupBy("status").agg(F.count("*").alias("curves"))
 

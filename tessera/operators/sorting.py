@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 
-def positioned(df: DataFrame, *order: Column | str, pos: str = "pos") -> DataFrame:
-    """df sorted by `order`, with positions from 0. Equal rows of the order keep no particular one among each other.
+def positioned(df: DataFrame, *order: Column | str, pos: str = "pos", ties: bool = False) -> DataFrame:
+    """df sorted by `order`, with positions from 0. Equal rows of the order keep no particular one among each other; with ties, a row's number is part of
+    the range key, so that a value that many rows share is dealt to many ranges.
 
     The sorted ranges are written once; a row's position is its number within its range plus the rows of the ranges before, whose counts (a row a
     partition) come to the driver. No window over all rows, so no single task."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranges = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *order, "_tie").drop("_tie") if ties else df.repartitionByRange(n, *order)
+    numbered = ranges.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     ranged = written(numbered.withColumn("_part", F.shiftright("_id", 33).cast("int")), "sorted")
     counts = sorted(ranged.groupBy("_part").count().collect())
     before = list(zip([r["_part"] for r in counts], accumulate([r["count"] for r in counts], initial=0)))
@@ -29,7 +31,7 @@ def positioned(df: DataFrame, *order: Column | str, pos: str = "pos") -> DataFra
 def sorted_u32(df: DataFrame, value: str = "value", ascending: bool = True, tie: tuple[str, ...] = ()) -> DataFrame:
     """(pos, value) in ascending or descending order; longs, so that 2^31 and above sort as unsigned."""
     key = F.col(value).asc() if ascending else F.col(value).desc()
-    return positioned(df.select(value, *tie), key, *tie).select("pos", value)
+    return positioned(df.select(value, *tie), key, *tie, ties=True).select("pos", value)
 
 
 def first_elements(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
@@ -37,6 +39,11 @@ def first_elements(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
     return df.where(F.col(pos) < n)
 
 
+def slice_of(df: DataFrame, offset: int, count: int, pos: str = "pos") -> DataFrame:
+    """`count` elements from position `offset` on, as many as there are."""
+    return df.where(F.col(pos).between(offset, offset + count - 1))
+
+
 def next_pow2(n: Column) -> Column:
     """The least power of two from n on; 1 for n up to 0."""
     bits = F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double")))
@@ -58,6 +65,19 @@ def padded_chunks(df: DataFrame, size: int, pos: str = "pos", ascending: bool =
     return n.select("chunk", "n", padded.alias("padded"), (padded - F.col("n")).alias("pad"), F.lit((1 << 32) - 1 if ascending else 0).cast("long").alias("sentinel"))
 
 
+def padded_runs(df: DataFrame, size: int, value: str = "value", pos: str = "pos", ascending: bool = True) -> DataFrame:
+    """(chunk, n, run): chunks of `size` positions, each with sentinels up to a power of two and sorted, so that the sentinels stand last."""
+    runs = df.groupBy(F.floor(F.col(pos) / size).alias("chunk")).agg(F.collect_list(value).alias("run"))
+    n = F.size("run").cast("long")
+    full = F.concat("run", F.array_repeat(F.lit((1 << 32) - 1 if ascending else 0).cast("long"), (next_pow2(n) - n).cast("int")))
+    return runs.select("chunk", n.alias("n"), F.sort_array(full, asc=ascending).alias("run"))
+
+
+def trimmed_runs(padded: DataFrame) -> DataFrame:
+    """padded: (chunk, n, run). The runs without their sentinels."""
+    return padded.withColumn("run", F.slice("run", F.lit(1), F.col("n").cast("int")))
+
+
 def order_violations(df: DataFrame, value: str = "value", pos: str = "pos", ascending: bool = True) -> DataFrame:
     """Neighbours out of order: pairs, and how many of them break it. A position's left neighbour comes by an equi-join on positions, not by a window over all rows."""
     left = df.select((F.col(pos) + 1).alias(pos), F.col(value).alias("before"))
