@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 
 def half(v: Column) -> Column:
@@ -17,6 +19,21 @@ def half(v: Column) -> Column:
     return F.when(v.isNull() | F.isnan(v), v).otherwise(F.signum(v) * kept)
 
 
+def fraction_cut(v: Column, bits: int) -> Column:
+    """v with its fraction cut to so many bits, towards 0, the exponent kept: 7 bits as bfloat16 has them, 10 as tf32. Null, NaN and infinities stay; the exponents of both are those of single precision, below whose least normal 2^-126 is 0."""
+    a = F.abs(v)
+    guess = F.floor(F.log2(F.when(a > 0, a).otherwise(F.lit(1.0))))
+    power = lambda e: F.pow(F.lit(2.0), e)
+    e = F.when(power(guess + 1) <= a, guess + 1).when(power(guess) > a, guess - 1).otherwise(guess)
+    kept = F.when(a < 2.0**-126, F.lit(0.0)).otherwise(F.floor(a / power(e - bits)) * power(e - bits))
+    return F.when(v.isNull() | F.isnan(v) | (a == float("inf")), v).otherwise(F.signum(v) * kept)
+
+
+def wrapped32(v: Column) -> Column:
+    """A long as what 32-bit arithmetic makes of it: sums and products that overflow wrap."""
+    return F.pmod(v + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+
+
 def signed_byte(v: Column, scale: float = 127.0) -> Column:
     """v times the scale, rounded half away from zero and held within a signed byte."""
     return F.greatest(F.lit(-128), F.least(F.lit(127), F.round(v * scale).cast("int"))).cast("int")
@@ -49,6 +66,41 @@ def from_limbs(parts: Column) -> Column:
     return F.get(parts, F.lit(0)).bitwiseOR(F.shiftleft(F.coalesce(F.get(parts, F.lit(1)), F.lit(0).cast("long")), 32))
 
 
+def wide_limbs(n: Column, count: int = 8) -> Column:
+    """A non-negative integer in decimal text, below 2^(32 count), as 32-bit limbs, the lowest first; null for what isn't one."""
+
+    @arrow_udf("array<long>")
+    def split(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            v = int(t) if t is not None and t.isascii() and t.isdigit() else -1
+            out.append([v >> 32 * k & 0xFFFFFFFF for k in range(count)] if 0 <= v < 1 << 32 * count else None)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return split(n)
+
+
+def from_wide_limbs(parts: Column) -> Column:
+    """Limbs, the lowest first, as an integer in decimal text."""
+
+    @arrow_udf("string")
+    def join(limbs: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else str(sum(v << 32 * k for k, v in enumerate(x))) for x in limbs.to_pylist()], pa.string())
+
+    return join(parts)
+
+
+def lcg64(x: Column, multiplier: int = 6364136223846793005, increment: int = 1442695040888963407) -> Column:
+    """One step of a linear congruential generator modulo 2^64, on and to decimals of up to 20 digits: products of halves, none of which passes 2^65."""
+    d = lambda v: v.cast("decimal(38,0)")
+    half = F.lit(1 << 32)
+    low = d(d(x) % half)
+    high = d((d(x) - low) / half)  # exact, so that no rounding to a scale shows
+    m_low, m_high = F.lit(multiplier & 0xFFFFFFFF), F.lit(multiplier >> 32)
+    cross = d((d(low * m_high) + d(high * m_low)) % half)
+    return d((d(cross * half) + d(low * m_low) + d(F.lit(str(increment)))) % d(F.lit(str(1 << 64)))).cast("decimal(20,0)")
+
+
 def lcg(x: Column, multiplier: int = 1664525, increment: int = 1013904223) -> Column:
     """One step of a linear congruential generator modulo 2^32; the product stays below 2^63."""
     return F.pmod(x * F.lit(multiplier) + F.lit(increment), F.lit(1 << 32))

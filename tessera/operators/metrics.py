@@ -52,10 +52,21 @@ def chunk_timing(votes: DataFrame) -> DataFrame:
 
 
 def throughput(timing: DataFrame) -> DataFrame:
-    """Results per second over all chunks that took any time, and quantiles that are exact (by counting) for durations."""
+    """Totals over all chunks that took any time: chunks, results, and their durations, summed and the longest."""
     return timing.where("duration_ms > 0").agg(F.count("*").alias("chunks"), F.sum("replicas").alias("replicas"), F.sum("duration_ms").alias("total_ms"), F.max("duration_ms").alias("max_ms"))
 
 
+def throughput_rates(timing: DataFrame, task: Column) -> DataFrame:
+    """A row a task over its chunks that took any time: results per second of chunk time, and the exact quantiles of durations (between neighbours in proportion)."""
+    seconds = F.sum("duration_ms") / 1000.0
+    quantile = lambda q: F.percentile("duration_ms", q)
+    return timing.where("duration_ms > 0").groupBy(task.alias("task")).agg(F.sum("replicas").alias("results"), (F.sum("replicas") / seconds).alias("per_second"), quantile(0.5).alias("median_ms"), quantile(0.95).alias("p95_ms"))
+
+
+#: Fixed value: interfaces that don't count as network traffic.
+BLOCKED_INTERFACES = "^(lo|docker|veth|br-|kube|tun|tap)"
+
+
 def windowed(samples: DataFrame, length: str, slide: str | None = None) -> DataFrame:
     """Tumbling or sliding windows of event time by kind of event."""
     at = F.window(F.col("ts").cast("timestamp"), length, slide) if slide else F.window(F.col("ts").cast("timestamp"), length)
@@ -69,7 +80,7 @@ def sessions(samples: DataFrame, gap: str) -> DataFrame:
     return s.select("task", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
-def network_totals(interfaces: DataFrame, allow: str = ".", block: str = "^(lo|docker|veth|br-|kube|tun|tap)") -> DataFrame:
+def network_totals(interfaces: DataFrame, allow: str = ".", block: str = BLOCKED_INTERFACES) -> DataFrame:
     """interfaces: task, iface, rx, tx. Totals over interfaces that are allowed and not blocked."""
     kept = interfaces.where(F.col("iface").rlike(allow) & ~F.col("iface").rlike(block))
     return kept.groupBy("task").agg(F.sum("rx").alias("rx"), F.sum("tx").alias("tx"), F.count("*").alias("interfaces"))

@@ -34,11 +34,12 @@ def gcd_column(a: Column, b: Column) -> Column:
 
 
 def gcd_batched(a: Column, b: Column) -> Column:
-    """The same by batches in numpy."""
+    """The same by batches in numpy; null if either is."""
 
     @arrow_udf("long")
     def batch(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array(np.gcd(x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)))
+        whole = lambda v: v.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.array(np.gcd(whole(x), whole(y)), mask=np.asarray(x.is_null()) | np.asarray(y.is_null()))
 
     return batch(a, b)
 

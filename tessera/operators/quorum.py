@@ -60,19 +60,30 @@ def affected(votes: DataFrame, decided: DataFrame, client: int) -> DataFrame:
     return decided.where(F.col("checksum").isNull()).join(own, "chunk", "left_semi").select("chunk")
 
 
-def assigned(chunks: DataFrame, clients: DataFrame, k: int) -> DataFrame:
+def assigned(chunks: DataFrame, clients: DataFrame, k: int, earlier: DataFrame | None = None, same_client: bool = False) -> DataFrame:
     """Each chunk (chunk, framework) to k distinct clients (client, frameworks, capacity, in_flight) that know its framework, the least loaded
-    first: (chunk, replica, client). Ties go to the smaller client. A framework's clients are one list, which meets its chunks by an equi-join.
+    first: (chunk, replica, client). Ties go to the smaller client. A framework's clients are one list, which meets its chunks by an equi-join. Clients that name no
+    framework (null or an empty list) take chunks of any.
 
-    A chunk starts at a place of its own in the list, so that chunks spread over clients."""
+    A chunk starts at a place of its own in the list, so that chunks spread over clients. earlier: (chunk, client) that have been dealt before; unless same_client, a
+    chunk passes by the clients that had it, and replicas are numbered on. Loads are those of the moment: what is dealt here takes up capacity in the next call."""
     free = clients.where(F.col("in_flight") < F.col("capacity"))
     load = (F.col("in_flight") / F.greatest("capacity", F.lit(1))).alias("load")
-    ranked = free.select(F.explode("frameworks").alias("framework"), load, "client").distinct()
+    named = free.select(F.explode("frameworks").alias("framework"), load, "client").distinct()
+    open_to_all = free.where(F.coalesce(F.size("frameworks"), F.lit(-1)) <= 0).select(load, "client")
+    kinds = chunks.select("framework").distinct().withColumn("one", F.lit(1))
+    ranked = named.unionByName(kinds.join(open_to_all.withColumn("one", F.lit(1)), "one").select("framework", "load", "client"))
     lists = ranked.groupBy("framework").agg(F.array_sort(F.collect_list(F.struct("load", "client"))).alias("fit"))
     fit = chunks.join(lists, "framework").select("chunk", "fit")
+    if earlier is not None:
+        had = earlier.groupBy("chunk").agg(F.collect_set("client").alias("had"), F.count("*").alias("dealt"))
+        fit = fit.join(had, "chunk", "left").select("chunk", F.coalesce("dealt", F.lit(0)).alias("dealt"), "fit" if same_client else F.when(F.col("had").isNull(), F.col("fit")).otherwise(F.filter("fit", lambda c: ~F.array_contains("had", c["client"]))).alias("fit"))
+        fit = fit.where(F.size("fit") > 0)
+    else:
+        fit = fit.withColumn("dealt", F.lit(0))
     n = F.size("fit")
-    picked = fit.select("chunk", n.alias("n"), "fit", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), n) - 1)).alias("replica"))
-    return picked.select("chunk", F.col("replica").cast("long").alias("replica"), F.element_at("fit", (F.pmod(F.col("chunk") + F.col("replica"), F.col("n")) + 1).cast("int"))["client"].alias("client"))
+    picked = fit.select("chunk", n.alias("n"), "fit", "dealt", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), n) - 1)).alias("replica"))
+    return picked.select("chunk", (F.col("dealt") + F.col("replica")).cast("long").alias("replica"), F.element_at("fit", (F.pmod(F.col("chunk") + F.col("replica"), F.col("n")) + 1).cast("int"))["client"].alias("client"))
 
 
 def load_rank(clients: DataFrame) -> DataFrame:
