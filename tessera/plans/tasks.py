@@ -14,27 +14,32 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import attention, ecm, matmul, sorting
+from ..sources import files
 from ..storage import work_dir
 from . import tiling
 
 
 @dataclass(frozen=True)
 class Strategy:
-    """run(inputs, config) gives the result as a DataFrame; chunks(config) how many chunks the work has, where that is known before."""
+    """run(spark, inputs, config) gives the result as a DataFrame; chunks(config) how many chunks the work has, where that is known before; read(spark, files, config) makes inputs of files (path, size) for tasks that name files."""
 
     id: str
     name: str
     run: Callable[[SparkSession, dict[str, DataFrame], dict], DataFrame]
     chunks: Callable[[dict], int | None] = lambda config: None
+    read: Callable[[SparkSession, DataFrame, dict], dict[str, DataFrame]] = lambda spark, found, config: {}
 
 
 def _matmul(spark, inputs, config):
     a, b = inputs["a"], inputs["b"]
     kind = config.get("datatype", "f64")
-    as_kind = {"f16": lambda v: numbers.half(v.cast("double")), "int8": numbers.signed_byte} | {k: lambda v, t=t: v.cast(t) for k, t in (("f32", "float"), ("f64", "double"), ("i32", "int"), ("i64", "long"))}
+    cut = lambda bits: lambda v: numbers.fraction_cut(v.cast("double"), bits)
+    as_kind = {"f16": lambda v: numbers.half(v.cast("double")), "bf16": cut(7), "tf32": cut(10), "int8": numbers.signed_byte} | {k: lambda v, t=t: v.cast(t) for k, t in (("f32", "float"), ("f64", "double"), ("i32", "int"), ("i64", "long"))}
     a, b = (x.withColumn("v", as_kind[kind](F.col("v"))) for x in (a, b))
     n, m, k = (config[x] for x in "NMK")
     whole = kind in ("i32", "i64", "int8")
+    if kind == "i32":
+        return matmul.product(a, b, "long").withColumn("v", numbers.wrapped32(F.col("v")))
     if whole or config.get("form", tiling.form(n, m, k, 1.0)) == "cells":
         return matmul.product(a, b, "long" if whole else "double")
     return matmul.tiled_product(a, b, *tile_shape(config))
@@ -70,17 +75,52 @@ def _ecm(spark, inputs, config):
     return ecm.curves(spark, ecm.parsed(config["N"]), config.get("B1", 50_000), config.get("total_curves", 1024), config.get("chunk_size", 256), config.get("seed", 1))
 
 
+def only_file(found: DataFrame) -> str:
+    """The path of the one file; none or several are an error."""
+    paths = [r.path for r in found.select("path").limit(2).collect()]
+    if len(paths) != 1:
+        raise ValueError("the task needs one file")
+    return paths[0]
+
+
+def _read_pair(spark, found, config):
+    n, m, k = (config[x] for x in "NMK")
+    pair = files.picked_pair(found.withColumn("group", F.lit(0)), F.lit(4 * n * k), F.lit(4 * k * m)).first()
+    if pair is None:
+        raise ValueError("the task needs two files")
+    return {"a": files.matrix_file(spark, pair.a, n, k).select("i", F.col("j").alias("k"), "v"), "b": files.matrix_file(spark, pair.b, k, m).select(F.col("i").alias("k"), "j", "v")}
+
+
+def _read_heads(spark, found, config):
+    named = {r.name: r.path for r in files.named_files(found, ["Q.bin", "K.bin", "V.bin"]).collect()}
+    if len(named) != 3:
+        raise ValueError("the task needs Q.bin, K.bin and V.bin")
+    rows = lambda path: files.matrix_file(spark, path, config["seq_len"], config["d_model"]).groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", F.col("v").cast("double").alias("v")))).alias("c")).select("i", F.col("c.v").alias("v"))
+    return {x.lower(): rows(named[f"{x}.bin"]) for x in "QKV"}
+
+
 STRATEGIES = {
     s.id: s
     for s in (
-        Strategy("matmul", "Matrix product by cells or tiles", _matmul, _matmul_chunks),
-        Strategy("sort-u32", "Global sort of unsigned integers", _sort, lambda c: -(-c["count"] // c.get("chunk_size", 65_536)) if "count" in c else None),
-        Strategy("attention", "Multi-head attention", _attention, lambda c: c.get("num_heads", 1)),
+        Strategy("matmul", "Matrix product by cells or tiles", _matmul, _matmul_chunks, _read_pair),
+        Strategy("sort-u32", "Global sort of unsigned integers", _sort, lambda c: -(-c["count"] // c.get("chunk_size", 65_536)) if "count" in c else None, lambda spark, found, config: {"sequence": files.u32_file(spark, only_file(found))}),
+        Strategy("attention", "Multi-head attention", _attention, lambda c: c.get("num_heads", 1), _read_heads),
         Strategy("ecm-stage1", "Elliptic-curve factoring, stage 1", _ecm, lambda c: ecm.chunk_count(c.get("total_curves", 1024), c.get("chunk_size", 256))),
     )
 }
 
 
+def register(strategy: Strategy) -> None:
+    """Makes a strategy known, whose kernel is any function of its inputs; an id that is known already is an error."""
+    if strategy.id in STRATEGIES:
+        raise ValueError(f"strategy {strategy.id} is known already")
+    STRATEGIES[strategy.id] = strategy
+
+
+def unregister(strategy_id: str) -> None:
+    del STRATEGIES[strategy_id]
+
+
 def strategies(spark: SparkSession) -> DataFrame:
     """What can be submitted: (id, name)."""
     return spark.createDataFrame([(s.id, s.name) for s in STRATEGIES.values()], "id string, name string")
@@ -123,6 +163,23 @@ class Tasks:
         self.tasks[task.id] = task
         return task
 
+    def submit_json(self, text: str, folder: str = "") -> Task:
+        """A task from JSON: strategyId, label, config, input (arguments, which count as config) and cachedFilePaths, names of files in the folder or paths. Files that aren't there are passed by, as are those whose strategy reads none."""
+        given = json.loads(text)
+        if not given.get("strategyId"):
+            raise ValueError("strategyId is required")
+        if given["strategyId"] not in STRATEGIES:
+            raise ValueError(f"no strategy {given['strategyId']}")
+        config = {**given.get("config", {}), **given.get("input", {})}
+        found = []
+        for name in given.get("cachedFilePaths", []):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}" if folder else name)
+            fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if fs.exists(at):
+                found.append((at.toString(), fs.getFileStatus(at).getLen()))
+        inputs = STRATEGIES[given["strategyId"]].read(self.spark, self.spark.createDataFrame(found, "path string, size long"), config) if found else {}
+        return self.submit(given["strategyId"], inputs, config, given.get("label") or "task")
+
     def start(self, task: Task) -> Future:
         """Runs the task once; a canceled one isn't started."""
         if task.status != "created":
