@@ -7,7 +7,8 @@ cosine (0 if the angle is a right one or more).
 
 Search. A fingerprint of 128 bits is cut into radius + 1 blocks; fingerprints within the radius agree on one block at least. For
 each block a table holds the fingerprints with the bits permuted so that the block comes first: here the block's number
-and bits are the key by which the table is partitioned. Equal fingerprints are one entry. Entries of one block value that are more than
+and bits are the key by which the table is partitioned. Beyond ONE_BLOCK rows there is one block more and a table for each pair of blocks, as two agree then: more tables,
+whose keys are nearly twice as long, so that a key's entries, and with them the candidates of a query, don't grow with the corpus as one block's do. Either way the answers are the same. Equal fingerprints are one entry. Entries of one block value that are more than
 `bucket_rows` are compared in parts of that size; no candidate is left out.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 from math import cos, pi, sqrt
 
 import numpy as np
@@ -60,9 +62,13 @@ def likeness(a: bytes, b: bytes) -> float:
     return max(0.0, cos(pi * differing / BITS)) if 2 * differing < BITS else 0.0
 
 
-def cuts_of(radius: int) -> list[int]:
-    """Ends of the radius + 1 blocks."""
-    n = radius + 1
+#: Entries up to which tables go by single blocks.
+ONE_BLOCK = 1 << 22
+
+
+def cuts_of(radius: int, agree: int = 1) -> list[int]:
+    """Ends of the radius + agree blocks, of which fingerprints within the radius agree on so many."""
+    n = radius + agree
     if not 0 < n <= BITS // 2:
         raise ValueError("the radius must be from 0 to 63")
     return [BITS * k // n for k in range(n + 1)]
@@ -73,38 +79,41 @@ def as_words(fps: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(fps.to_pylist()), np.uint64).reshape(-1, 2)
 
 
-def dealt(df: DataFrame, radius: int) -> DataFrame:
+def dealt(df: DataFrame, radius: int, agree: int = 1) -> DataFrame:
     """df: fp, n, side. A row for each table: (tab, block, fp, n, side)."""
-    cuts = cuts_of(radius)
+    cuts = cuts_of(radius, agree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             bits = np.unpackbits(as_words(batch.column("fp")).view(np.uint8), axis=1).astype(np.int64)
-            for t, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                block = bits[:, a:b][:, -62:] @ (1 << np.arange(min(b - a, 62), dtype=np.int64)[::-1])
+            for t, own in enumerate(combinations(range(len(cuts) - 1), agree)):
+                of = np.hstack([bits[:, cuts[k] : cuts[k + 1]] for k in own])[:, -62:]
+                block = of @ (1 << np.arange(of.shape[1], dtype=np.int64)[::-1])
                 yield pa.record_batch([pa.array(np.full(len(block), t, np.int32)), pa.array(block), batch.column("fp"), batch.column("n"), batch.column("side")], ["tab", "block", "fp", "n", "side"])
 
     return df.select("fp", "n", "side").mapInArrow(deal, "tab int, block long, fp binary, n long, side int")
 
 
-def matches(queries: np.ndarray, entries: np.ndarray, tab: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, entry, distance) of the pairs within the radius that agree on no earlier table's block, so that each pair is found in one table only."""
-    cuts, found = cuts_of(radius), []
+def matches(queries: np.ndarray, entries: np.ndarray, tab: int, radius: int, agree: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, entry, distance) of the pairs within the radius whose first blocks that agree are this table's, so that each pair is found in one table only."""
+    cuts, found = cuts_of(radius, agree), []
+    mine = list(combinations(range(len(cuts) - 1), agree))[tab]
     for k in range(0, len(queries), max(1, 1_000_000 // max(1, len(entries)))):
         part = queries[k : k + max(1, 1_000_000 // max(1, len(entries)))]
         d = np.bitwise_count(part[:, None, 0] ^ entries[None, :, 0]) + np.bitwise_count(part[:, None, 1] ^ entries[None, :, 1])
         q, e = np.nonzero(d <= radius)
         bits = np.unpackbits((part[q] ^ entries[e]).view(np.uint8).reshape(-1, BITS // 8), axis=1)
         first = np.ones(len(q), bool)
-        for a, b in zip(cuts[:tab], cuts[1 : tab + 1], strict=True):
-            first &= bits[:, a:b].any(1)
+        for b in range(mine[-1] + 1):
+            same = ~bits[:, cuts[b] : cuts[b + 1]].any(1)
+            first &= same if b in mine else ~same
         found.append((q[first] + k, e[first], d[q, e][first].astype(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
 
-def searched(batches: Iterator[pa.RecordBatch], radius: int, counted: bool) -> Iterator[pa.RecordBatch]:
+def searched(batches: Iterator[pa.RecordBatch], radius: int, counted: bool, agree: int = 1) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (tab, block, part, side), entries before queries: the entries of a part are held, queries stream by. counted: (qfp, n) a query, else (qfp, efp, distance) a pair."""
     key, held, weights = None, [], []
     for batch in batches:
@@ -121,7 +130,7 @@ def searched(batches: Iterator[pa.RecordBatch], radius: int, counted: bool) -> I
                 weights.append(n[a:b])
             elif held:
                 held, weights = [np.concatenate(held)], [np.concatenate(weights)]
-                q, e, d = matches(words[a:b], held[0], own[0], radius)
+                q, e, d = matches(words[a:b], held[0], own[0], radius, agree)
                 if counted:
                     total = np.bincount(q, weights[0][e], b - a).astype(np.int64)
                     hit = np.flatnonzero(total)
@@ -130,35 +139,36 @@ def searched(batches: Iterator[pa.RecordBatch], radius: int, counted: bool) -> I
                     yield pa.record_batch([pa.array([x.tobytes() for x in words[a:b][q]], pa.binary()), pa.array([x.tobytes() for x in held[0][e]], pa.binary()), pa.array(d)], ["qfp", "efp", "distance"])
 
 
-def search(queries: DataFrame, entries: DataFrame, radius: int, bucket_rows: int, counted: bool) -> DataFrame:
-    """queries, entries: fp (distinct), n. Blocks without a query are left out; a block of more than bucket_rows entries is cut into parts, and its queries go to each."""
-    asked, held = dealt(queries.withColumn("side", F.lit(1)), radius), dealt(entries.withColumn("side", F.lit(0)), radius)
+def search(queries: DataFrame, entries: DataFrame, radius: int, bucket_rows: int, counted: bool, agree: int | None) -> DataFrame:
+    """queries, entries: fp (distinct), n. agree: blocks of a table's key, by default as many as the number of entries asks for. Blocks without a query are left out; a block of more than bucket_rows entries is cut into parts, and its queries go to each."""
+    agree = agree or (1 if entries.count() <= ONE_BLOCK else 2)
+    asked, held = dealt(queries.withColumn("side", F.lit(1)), radius, agree), dealt(entries.withColumn("side", F.lit(0)), radius, agree)
     size = held.groupBy("tab", "block").agg(F.count("*").alias("rows")).join(asked.select("tab", "block").distinct(), ["tab", "block"])
     size = size.select("tab", "block", F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).cast("int").alias("parts"))
     held = held.join(size, ["tab", "block"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     asked = asked.join(size, ["tab", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = held.drop("parts").unionByName(asked.drop("parts")).repartition("tab", "block", "part").sortWithinPartitions("tab", "block", "part", "side")
-    return rows.mapInArrow(lambda batches: searched(batches, radius, counted), "qfp binary, n long" if counted else "qfp binary, efp binary, distance long")
+    return rows.mapInArrow(lambda batches: searched(batches, radius, counted, agree), "qfp binary, n long" if counted else "qfp binary, efp binary, distance long")
 
 
 def distinct(df: DataFrame) -> DataFrame:
     return df.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n"))
 
 
-def neighbours(queries: DataFrame, entries: DataFrame, radius: int = 8, bucket_rows: int = 20_000) -> DataFrame:
+def neighbours(queries: DataFrame, entries: DataFrame, radius: int = 8, bucket_rows: int = 20_000, agree: int | None = None) -> DataFrame:
     """queries, entries: id (long), fp (16 bytes). Returns query_id, id, distance: every entry within the radius of each
     query, other than the query's own id. Null fingerprints find nothing. Repeated rows of one side are found as one.
 
     Answers are as many as there are pairs within the radius, which is what a search returns; the search compares distinct fingerprints only."""
-    near = search(distinct(queries), distinct(entries), radius, bucket_rows, False)
+    near = search(distinct(queries), distinct(entries), radius, bucket_rows, False, agree)
     near = near.join(queries.select(F.col("id").alias("query_id"), F.col("fp").alias("qfp")).distinct(), "qfp")
     near = near.join(entries.select("id", F.col("fp").alias("efp")).distinct(), "efp")
     return near.where(~F.col("query_id").eqNullSafe(F.col("id"))).select("query_id", "id", "distance")
 
 
-def counts_within(queries: DataFrame, entries: DataFrame, radius: int = 8, bucket_rows: int = 20_000) -> DataFrame:
+def counts_within(queries: DataFrame, entries: DataFrame, radius: int = 8, bucket_rows: int = 20_000, agree: int | None = None) -> DataFrame:
     """queries: fp; entries: fp, a row a document. Returns fp, n: for each distinct fingerprint asked, the entries within the radius, equal ones included. No pair is listed."""
-    near = search(distinct(queries), distinct(entries), radius, bucket_rows, True)
+    near = search(distinct(queries), distinct(entries), radius, bucket_rows, True, agree)
     return near.groupBy(F.col("qfp").alias("fp")).agg(F.sum("n").alias("n"))
 
 

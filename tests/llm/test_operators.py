@@ -609,6 +609,33 @@ def test_neighbours_equal_brute_force(spark):
     assert simhash_index.neighbours(df.where("id < 0"), df).count() == 0
 
 
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_tables_of_several_blocks_find_the_same(spark, agree):
+    rng = random.Random(27)
+    base = [rng.getrandbits(128) for _ in range(20)]
+    fps = [(k, (base[k % 20] ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(6)))).to_bytes(16)) for k in range(160)]
+    df = spark.createDataFrame(fps, "id long, fp binary")
+    for radius in (0, 1, 5):
+        want = Counter((i, j, d) for i, a in fps for j, b in fps if i != j and (d := (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()) <= radius)
+        assert Counter(map(tuple, simhash_index.neighbours(df, df, radius, 50, agree).collect())) == want
+
+
+def test_votes_equal_their_definition():
+    """Each bit by the signed weights of distinct words and pairs, term by term."""
+    rng = random.Random(28)
+    for text in ("One two, two THREE", "a", "x x x y", good(rng), "É é 漢字 \u2003 z"):
+        words = text.lower().split()
+        weight = {t: round(64 * 0.5 * c**0.5) for t, c in Counter(words).items()}
+        pairs = {t: round(64 * 1.0 * c**0.5) for t, c in Counter(f"{a} {b}" for a, b in zip(words, words[1:])).items()}
+        votes = [0] * 128
+        for terms in (weight, pairs):
+            for t, w in terms.items():
+                h = int.from_bytes(xxhash.xxh3_128_digest(t))
+                for b in range(128):
+                    votes[b] += w if h >> (127 - b) & 1 else -w
+        assert simhash_index.fingerprint(text) == int("".join("1" if v > 0 else "0" for v in votes), 2).to_bytes(16)
+
+
 def test_fingerprint_query(spark, tmp_path):
     got = simhash_index.op6_fingerprints(spark, saved(tmp_path, documents=docs(spark, [*ODD, (20, "same text here for two rows"), (40, "quite another text"), (60, None)]))).collect()
     assert len(got) == len(ODD) + 3 and {r.doc_id: r.n_near for r in got if r.doc_id and r.doc_id % 20 == 0} == {20: 2, 40: 0, 60: 3}
