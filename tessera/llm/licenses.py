@@ -2,7 +2,8 @@
 
 A text's passages are its lines, its paragraphs (between empty lines) and itself, which is what the query's SQL compares. With `windows`,
 which the query leaves off since its SQL has none, also stretches of as many words as a template has, wherever they stand: a notice
-within prose, or wrapped over the lines of a comment, is found. Text and templates are normalised:
+within prose, or wrapped over the lines of a comment, is found. WHOLE has whole licence texts, to be given as templates beside the notices; with
+`without_copyright` the lines of a text that name a copyright's holder are no part of what is compared. Text and templates are normalised:
 lower case, words of letters and digits, `licence` as `license`. The coefficient of
 two sets of bigrams is 2 |A and B| / (|A| + |B|); it can reach t only if |A| lies between |B| t / (2 - t) and |B| (2 - t) / t,
 so a passage meets only the templates whose sizes are within these bounds, and of those only the ones that hold one of its bigrams.
@@ -50,6 +51,24 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Clauses that several licences share, and whole texts without their copyright lines, by SPDX identifier.
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+ISC_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+ZLIB_TERMS = "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+MIT_KEEP = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_notice = {name: text for name, text in TEMPLATES}  # the last of a name
+WHOLE = (
+    ("MIT", f"{_notice['MIT']} {MIT_KEEP} {AS_IS}"),
+    ("ISC", f"{_notice['ISC']} {ISC_AS_IS}"),
+    ("BSD-2-Clause", f"{BSD_TERMS} {BSD_AS_IS}"),
+    ("BSD-3-Clause", f"{BSD_TERMS} {BSD_THIRD} {BSD_AS_IS}"),
+    ("Zlib", f"{_notice['Zlib']} {ZLIB_TERMS}"),
+)
+#: Lines that name the holder of a copyright, behind whatever leads a comment.
+COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright\b(?=[^\n]*(?:\d{4}|\(c\)|©))|\(c\)\s*\d{4}|©|all rights reserved)[^\n]*$", re.I | re.M)
 WORDS = re.compile(r"[a-z0-9]+")
 LETTERS = re.compile(r"[A-Za-z0-9]+")
 THRESHOLD = 0.8
@@ -111,9 +130,10 @@ class Index:
                 best = d, self.names[k]
         return best
 
-    def windows(self, text: str) -> Iterator[tuple[str, float, int, int]]:
+    def windows(self, text: str, without_copyright: bool = False) -> Iterator[tuple[str, float, int, int]]:
         """For each template the stretches that match it: windows of its number of words that begin at one of its bigrams, up to the last of its bigrams within."""
-        place = [(m[0].lower(), *m.span()) for m in LETTERS.finditer(text)]
+        read = unclaimed(text) if without_copyright else text
+        place = [(m[0].lower(), *m.span()) for m in LETTERS.finditer(read)]
         # British spelling as words() reads it
         own = [w.replace("licence", "license") for w, _, _ in place]
         hits: dict[int, list[int]] = {}
@@ -148,16 +168,17 @@ class Index:
                 if not inside[x]:
                     del inside[x]
 
-    def scan(self, text: str | None, windows: bool = False) -> list[tuple[str, float, int, int]]:
+    def scan(self, text: str | None, windows: bool = False, without_copyright: bool = False) -> list[tuple[str, float, int, int]]:
         """(licence, coefficient, start, end) of each passage (and window) that matches, by place; of passages within each other the best, and of equals the longest."""
         if not text or not self.may_match(text):
             return []
         found = []
+        read = unclaimed(text) if without_copyright else text
         for a, b in passages(text):
-            if hit := self.best(text[a:b]):
+            if hit := self.best(read[a:b]):
                 found.append((hit[1], hit[0], a, b))
         if windows:
-            found += self.windows(text)
+            found += self.windows(text, without_copyright)
         found.sort(key=lambda f: (-f[1], f[2] - f[3], f[2]))
         kept: list[tuple[str, float, int, int]] = []
         for f in found:
@@ -166,6 +187,11 @@ class Index:
         return sorted(kept, key=lambda f: f[2])
 
 
+def unclaimed(text: str) -> str:
+    """text with its copyright lines blank, so that every place keeps its number."""
+    return COPYRIGHT.sub(lambda m: " " * len(m[0]), text)
+
+
 def passages(text: str) -> Iterator[tuple[int, int]]:
     """Distinct spans of the lines, the paragraphs and the whole; code points, end exclusive."""
     spans, at, start = {(0, len(text)): None}, 0, 0
@@ -191,20 +217,20 @@ def index(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float =
 FOUND = "array<struct<license:string,dice:double,start:int,end:int>>"
 
 
-def scan_udf(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False):
+def scan_udf(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False, without_copyright: bool = False):
     """A UDF: text to its licences, an array of (license, dice, start, end). Null and empty texts have none."""
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def make():
         scan = index(templates, threshold).scan
-        return lambda texts: pa.array([[dict(zip(("license", "dice", "start", "end"), f, strict=True)) for f in scan(t, windows)] for t in texts], kind)
+        return lambda texts: pa.array([[dict(zip(("license", "dice", "start", "end"), f, strict=True)) for f in scan(t, windows, without_copyright)] for t in texts], kind)
 
     return text_udf(make, FOUND)
 
 
-def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
-    """docs with the licences found in its text added as `out`; with windows also those within lines and across them."""
-    return docs.withColumn(out, scan_udf(templates, threshold, windows)(F.col(text_col)))
+def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False, without_copyright: bool = False) -> DataFrame:
+    """docs with the licences found in its text added as `out`; with windows also those within lines and across them, without_copyright leaving out the lines that name holders."""
+    return docs.withColumn(out, scan_udf(templates, threshold, windows, without_copyright)(F.col(text_col)))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,6 +316,23 @@ def test_licence_windows_score_as_dice(spark, sf):
                 assert any(n == name and d == pytest.approx(2 * len(own & g) / (len(own) + len(g))) for n, g in zip(ix.names, ix.grams, strict=True))
 
 
+def test_whole_licences_without_their_copyright_lines(spark):
+    """Whole texts wrapped in comments, with copyright lines between their parts, are found as a whole; the lines alone are no licence."""
+    rows, names = [], [n for n, _ in licenses.WHOLE]
+    for k, (_, t) in enumerate(licenses.WHOLE):
+        words = t.split()
+        lines = [" ".join(words[i : i + 11]) for i in range(0, len(words), 11)]
+        lines[1:1] = ["Copyright (c) 2019-2024 Jane Doe and the many others who wrote it. All rights reserved.", "(C) 2020 Somebody Else", "All rights reserved."]
+        rows.append((k, "# some code\n" + "".join(f" * {x}\n" for x in lines) + "x = 1\n"))
+    rows.append((99, "Copyright 2020 Jane Doe\n(c) 2021 x"))
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows), templates=licenses.TEMPLATES + licenses.WHOLE, windows=True, without_copyright=True).select("doc_id", "text", "licenses").collect()}
+    for k, name in enumerate(names):
+        best = max(got[k].licenses, key=lambda x: x.end - x.start)
+        assert best.license == name and best.dice > 0.97 and best.end - best.start > 0.9 * len(licenses.WHOLE[k][1]), name
+    assert got[99].licenses == []
+    assert licenses.unclaimed("a\n// Copyright (c) 2020 x\nThe copyright holder may\n") == "a\n" + " " * len("// Copyright (c) 2020 x") + "\nThe copyright holder may\n"
+
+
 def test_licences_odd_rows(spark, tmp_path):
     got = licenses.op3_license_scan(spark, saved(tmp_path, documents=docs(spark, ODD))).collect()
     assert len(got) == len(ODD) and all(r.n_found == 0 and r.licenses == "" for r in got)
