@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +47,15 @@ def runs(sizes: list[int], rows: int, size: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int]:
+    """glibc's malloc_trim, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
 def text_udf(make: Callable[[], Callable[[list], pa.Array]], kind, rows: int = 512, size: int = 2_000_000):
     """An Arrow UDF on one column: make() runs once a worker task and gives the function from a list of values to their results.
     Batches are handled in slices of at most `rows` values and `size` bytes (or one value), which bounds what Python holds
@@ -60,5 +71,7 @@ def text_udf(make: Callable[[], Callable[[list], pa.Array]], kind, rows: int = 5
             pa.default_memory_pool().release_unused()
             parts = [work(batch.slice(a, b - a).to_pylist()) for a, b in runs(lengths, rows, size)] or [work([])]
             yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+            del parts
+            _trim()(0)  # what a batch has freed goes back to the machine, whose memory workers share with the executor
 
     return run.asNondeterministic()

@@ -24,7 +24,7 @@ from ._shared import table, text_udf
 MASK = (1 << 64) - 1
 MIX = 0x9E3779B97F4A7C15
 #: Resolved pieces that a worker keeps; when full it starts anew.
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 def slot(h: int, d: int, n: int) -> int:
@@ -136,26 +136,36 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 _memory: dict[int, dict[str, bytes]] = {}
 
 
+def encoding_of(v: Vocabulary, known: dict[str, bytes]):
+    """A function from texts to their packed ids, which keeps resolved pieces in `known`."""
+    split = regex.compile(v.pattern).findall
+
+    def one(text: str | None) -> bytes:
+        pieces = split(text) if text else []
+        new = set(pieces).difference(known)
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = set(pieces)
+        for p in new:
+            known[p] = v.packed(p)
+        return b"".join(map(known.__getitem__, pieces))
+
+    return one
+
+
+def decoding_of(v: Vocabulary):
+    """A function from packed ids to their bytes."""
+    by_id = dict(zip(v.ids, v.keys, strict=True))
+    return lambda ids: b"".join(map(by_id.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
 def encoder(spark: SparkSession, vocab: Vocabulary):
     """A UDF: text to its ids, packed as little-endian unsigned 32-bit integers. A null text is the empty text: no ids."""
     shared = spark.sparkContext.broadcast(vocab)
     key = shared._jbroadcast.id()
 
     def make():
-        v = shared.value
-        split = regex.compile(v.pattern).findall
-        known = _memory.setdefault(key, {})
-
-        def one(text: str | None) -> bytes:
-            pieces = split(text) if text else []
-            new = set(pieces).difference(known)
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = set(pieces)
-            for p in new:
-                known[p] = v.packed(p)
-            return b"".join(map(known.__getitem__, pieces))
-
+        one = encoding_of(shared.value, _memory.setdefault(key, {}))
         return lambda texts: pa.array([one(t) for t in texts], pa.binary())
 
     return text_udf(make, "binary")
@@ -166,13 +176,29 @@ def decoder(spark: SparkSession, vocab: Vocabulary):
     shared = spark.sparkContext.broadcast(vocab)
 
     def make():
-        v = shared.value
-        by_id = dict(zip(v.ids, v.keys, strict=True))
-        return lambda rows: pa.array([b"".join(map(by_id.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in rows], pa.binary())
+        one = decoding_of(shared.value)
+        return lambda rows: pa.array([one(x) for x in rows], pa.binary())
 
     return text_udf(make, "binary")
 
 
+def both_ways(spark: SparkSession, vocab: Vocabulary):
+    """A UDF: text to (token_ids, decoded), what encoder gives and what decoder makes of it, by one worker instead of two at once."""
+    shared = spark.sparkContext.broadcast(vocab)
+    key = shared._jbroadcast.id()
+
+    def make():
+        encode, decode = encoding_of(shared.value, _memory.setdefault(key, {})), decoding_of(shared.value)
+
+        def work(texts):
+            ids = [encode(t) for t in texts]
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([decode(x) for x in ids], pa.binary())], ["token_ids", "decoded"])
+
+        return work
+
+    return text_udf(make, "token_ids binary, decoded binary")
+
+
 def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "token_ids") -> DataFrame:
     """docs with the packed ids of its text added as `out` (replacing a column of that name)."""
     return docs.withColumn(out, encoder(docs.sparkSession, vocab)(F.col(text_col)))
@@ -183,6 +209,11 @@ def decode(docs: DataFrame, vocab: Vocabulary, ids_col: str = "token_ids", out:
     return docs.withColumn(out, decoder(docs.sparkSession, vocab)(F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", out: str = "coded") -> DataFrame:
+    """docs with a struct (token_ids, decoded) of its text added as `out`: encode and decode after each other in one pass."""
+    return docs.withColumn(out, both_ways(docs.sparkSession, vocab)(F.col(text_col)))
+
+
 def n_tokens(ids: Column) -> Column:
     return F.shiftright(F.length(ids).cast("long"), 2)
 
@@ -196,6 +227,5 @@ def default_vocabulary(path: str | None = None) -> Vocabulary:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, the digest of its ids and of the bytes that they decode to. Empty and null texts have no ids."""
     v = default_vocabulary()
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), v).select("doc_id", "token_ids")
-    back = decode(ids, v)
-    return back.select("doc_id", n_tokens(F.col("token_ids")).alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    back = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), v).select("doc_id", "coded")
+    return back.select("doc_id", n_tokens(F.col("coded.token_ids")).alias("n_tokens"), F.sha2("coded.token_ids", 256).alias("ids_sha256"), F.sha2("coded.decoded", 256).alias("decoded_sha256"))

@@ -27,7 +27,7 @@ UNDECIDED = "und"
 #: Lengths of the n-grams; the letters within, all but the ends, must be letters.
 LENGTHS = (3, 4)
 #: Characters that are turned into n-grams at a time.
-PIECE = 500_000
+PIECE = 250_000
 _letters: list[np.ndarray] = []
 
 
