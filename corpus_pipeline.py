@@ -59,9 +59,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per copy of a document: doc_id, source, n_tokens, token_ids (little-endian unsigned 32-bit integers), round_trip (whether the ids decode to the text)."""
     v = byte_bpe.default_vocabulary()
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "text"), v), v)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return coded.select("doc_id", "source", byte_bpe.n_tokens(F.col("token_ids")).alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    coded = byte_bpe.round_trip(docs.select("doc_id", "source", "text"), v)
+    ids, same = F.col("coded.token_ids"), F.col("coded.decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return coded.select("doc_id", "source", byte_bpe.n_tokens(ids).alias("n_tokens"), ids.alias("token_ids"), same.alias("round_trip"))
 
 
 STAGES = [
