@@ -35,8 +35,9 @@ def wrapped32(v: Column) -> Column:
 
 
 def signed_byte(v: Column, scale: float = 127.0) -> Column:
-    """v times the scale, rounded half away from zero and held within a signed byte."""
-    return F.greatest(F.lit(-128), F.least(F.lit(127), F.round(v * scale).cast("int"))).cast("int")
+    """v times the scale, rounded half away from zero and held within a signed byte; null stays null."""
+    held = F.greatest(F.lit(-128.0), F.least(F.lit(127.0), F.round(v * scale)))
+    return F.when(v.isNotNull(), held).cast("int")
 
 
 def packed(bytes4: Column) -> Column:

@@ -240,6 +240,20 @@ def matmul_i32(spark, sf_dir):
     return matmul.product(a, order_cells(spark, sf_dir), "long").withColumn("v", numbers.wrapped32(F.col("v")))
 
 
+HALVES = "SELECT vec_id, label::BIGINT AS j, d, v, CASE WHEN abs(v) < pow(2.0, -14) THEN 0.0 ELSE sign(v) * floor(abs(v) / pow(2.0, e - 10)) * pow(2.0, e - 10) END AS h FROM (SELECT *, CASE WHEN v = 0 THEN 0 ELSE floor(log2(abs(v))) END AS e FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings))"
+
+
+@query(f"""WITH c AS (SELECT d AS i, j, sum(h) AS x, sum(v) AS y FROM ({HALVES}) GROUP BY 1, 2), e AS (SELECT *, abs(x - y) AS error FROM c)
+SELECT count(*) AS cells, round(max(error), 9) + 0.0 AS max_abs, round(max(CASE WHEN abs(y) > 0 THEN error / abs(y) ELSE error END), 6) + 0.0 AS max_rel, arg_max(i, error) AS worst_i, arg_max(j, error) AS worst_j, count(*) FILTER (WHERE error > 1e-5 + 1e-3 * abs(y)) AS beyond FROM e""")
+def matmul_compared(spark, sf_dir):
+    """Half precision against full, cell by cell: largest errors, the worst cell, and how many cells are beyond the tolerance."""
+    a, _ = tables.transposed_pair(tables.cells(spark, sf_dir))
+    b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), F.col("label").cast("long").alias("j"), F.lit(1.0).alias("v"))
+    found = matmul.compared(matmul.product(a.withColumn("v", numbers.half(F.col("v"))), b), matmul.product(a, b))
+    found = found.select("cells", "max_abs", "max_rel", F.col("worst.i").alias("worst_i"), F.col("worst.j").alias("worst_j"), "beyond")
+    return rounded(rounded(found, "max_abs", 9), "max_rel")
+
+
 WIDE = "l_orderkey::HUGEINT * 2654435761 * 2654435761 * 97 + l_orderkey"
 
 

@@ -142,3 +142,45 @@ def test_rates_of_chunks(spark):
     t = spark.createDataFrame([("1:a", 2, 500), ("1:b", 4, 1500), ("1:c", 9, 0), ("2:a", 1, 100)], "chunk string, replicas long, duration_ms long")
     got = {r.task: r for r in metrics.throughput_rates(t, F.split_part(F.col("chunk"), F.lit(":"), F.lit(1))).collect()}
     assert got["1"].per_second == 3 and got["1"].median_ms == 1000 and got["2"].per_second == 10
+
+
+def test_nulls_in_numbers_and_sequences(spark):
+    rows = spark.createDataFrame([(None,), (0.5,), (9.0,), (-9.0,), (float("inf"),)], "v double")
+    assert [r.b for r in rows.select(numbers.signed_byte(F.col("v")).alias("b")).collect()] == [None, 64, 127, -128, 127]
+    whole = spark.createDataFrame([(None,), (2**40 + 5,)], "n long").select(numbers.limbs(F.col("n"), 3).alias("l"), numbers.from_limbs(numbers.limbs(F.col("n"))).alias("n")).collect()
+    assert [r.n for r in whole] == [None, 2**40 + 5] and whole[1].l == [5, 256, 0]
+    runs = sorting.chunk_runs(spark.createDataFrame([(0, 3), (1, None), (2, 1)], "pos long, value long"), 4).first()
+    assert (runs.n, runs.lo, runs.hi, runs.in_order) == (2, 1, 3, True)
+
+
+def test_attention_passes_null_vectors_by(spark):
+    from tessera.operators import attention
+
+    kind = "i long, v array<double>"
+    q = attention.heads(spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [0.5, -1.0])], kind), 1, 2)
+    k = attention.heads(spark.createDataFrame([(0, [3.0, 1.0]), (1, [0.0, 1.0]), (2, None)], kind), 1, 2)
+    got = {(r.i, r.d): r.o for r in attention.blocked(q, k, k, 2).collect()}
+    some = lambda df: df.where("v is not null")
+    want = {(r.i, r.d): r.o for r in attention.context(attention.softmax(attention.scores(some(q), some(k), 2)), some(k)).collect()}
+    assert got.keys() == want.keys() == {(i, d) for i in (0, 2) for d in (0, 1)} and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    none = q.where("false")
+    assert attention.blocked(none, k, k, 2).count() == attention.scores(q, none, 2).count() == attention.weights(none, k, 2).count() == 0
+
+
+def test_attention_of_large_scores_is_stable(spark):
+    """Scores beyond what exponentials hold, in one batch and in several: shifts are taken, and batches of other sizes are rescaled."""
+    from tessera.operators import attention
+
+    rng = np.random.default_rng(33)
+    x = rng.normal(size=(40, 4)) * 40
+    x[::7] *= 0.01
+    df = attention.heads(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i long, v array<double>"), 2, 4)
+    want = {(r.head, r.i, r.d): r.o for r in attention.context(attention.softmax(attention.scores(df, df, 2)), df).collect()}
+    for size in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = {(r.head, r.i, r.d): r.o for r in attention.blocked(df, df, df, 2, 9).collect()}
+            p = attention.weights(df, df, 2, 9).groupBy("head", "i").agg(F.sum("p").alias("s")).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want) and all(abs(r.s - 1) < 1e-9 for r in p)
