@@ -24,7 +24,7 @@ from ._shared import table, text_udf
 MASK = (1 << 64) - 1
 MIX = 0x9E3779B97F4A7C15
 #: Resolved pieces that a worker keeps; when full it starts anew.
-MEMORY = 200_000
+MEMORY = 300_000
 
 
 def slot(h: int, d: int, n: int) -> int:
@@ -137,15 +137,21 @@ _memory: dict[int, dict[str, bytes]] = {}
 
 
 def encoding_of(v: Vocabulary, known: dict[str, bytes]):
-    """A function from texts to their packed ids, which keeps resolved pieces in `known`."""
+    """A function from texts to their packed ids, which keeps resolved pieces in `known`. When that is full, pieces that a second text has had stay, if they are no more than half of it."""
     split = regex.compile(v.pattern).findall
+    again: set[str] = set()
 
     def one(text: str | None) -> bytes:
         pieces = split(text) if text else []
-        new = set(pieces).difference(known)
+        own = set(pieces)
+        new = own.difference(known)
         if len(known) + len(new) > MEMORY:
+            kept = {p: known[p] for p in again if p in known} if len(again) <= MEMORY // 2 else {}
             known.clear()
-            new = set(pieces)
+            known.update(kept)
+            again.clear()
+            new = own.difference(known)
+        again.update(own.difference(new))
         for p in new:
             known[p] = v.packed(p)
         return b"".join(map(known.__getitem__, pieces))
