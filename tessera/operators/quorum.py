@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +87,46 @@ def assigned(chunks: DataFrame, clients: DataFrame, k: int, earlier: DataFrame |
     return picked.select("chunk", (F.col("dealt") + F.col("replica")).cast("long").alias("replica"), F.element_at("fit", (F.pmod(F.col("chunk") + F.col("replica"), F.col("n")) + 1).cast("int"))["client"].alias("client"))
 
 
+def scheduled(chunks: DataFrame, clients: DataFrame, k: int, earlier: DataFrame | None = None, same_client: bool = False) -> DataFrame:
+    """What is sent out now: chunks (chunk, framework), the smallest first, each to up to k clients with a place left, the least loaded first (ties to the smaller client);
+    a place is taken up as it is dealt. Returns (chunk, replica, client). Frameworks, earlier and same_client as in assigned().
+
+    Of the chunks that the same clients can take no more can be served than there are places in all, so only these come together in one task, however many chunks wait."""
+    free = clients.where(F.col("in_flight") < F.col("capacity")).select("client", "frameworks", "capacity", "in_flight")
+    places = free.agg(F.coalesce(F.sum(F.col("capacity") - F.col("in_flight")), F.lit(0)).cast("long").alias("n")).first().n
+    had = (earlier if earlier is not None else chunks.sparkSession.createDataFrame([], "chunk long, client long")).groupBy("chunk").agg(F.collect_set("client").alias("had"), F.count("*").alias("dealt"))
+    names = F.coalesce(F.size("frameworks"), F.lit(-1)) <= 0
+    able = free.select(F.explode(F.when(names, F.array(F.lit(None).cast("string"))).otherwise(F.col("frameworks"))).alias("of"), "client").distinct()
+    any_of = able.where("of is null").agg(F.collect_set("client").alias("any"), F.lit(1).alias("one"))
+    named = able.where("of is not null").groupBy("of").agg(F.collect_set("client").alias("fit"))
+    none = F.array().cast("array<bigint>")
+    waiting = chunks.join(had, "chunk", "left").withColumn("one", F.lit(1)).join(F.broadcast(any_of), "one").join(F.broadcast(named), F.col("framework") == F.col("of"), "left")
+    able_now = F.array_union(F.coalesce("fit", none), "any")
+    waiting = waiting.withColumn("able", F.array_sort(able_now if same_client else F.array_except(able_now, F.coalesce("had", none)))).where(F.size("able") > 0)
+    first = waiting.withColumn("nth", F.row_number().over(Window.partitionBy("framework", "able").orderBy("chunk"))).where(F.col("nth") <= places)
+    one = first.select(F.struct("chunk", "framework", F.coalesce("dealt", F.lit(0)).alias("dealt"), "had").alias("of")).agg(F.sort_array(F.collect_list("of")).alias("chunks"), F.lit(1).alias("one"))
+    both = one.join(F.broadcast(free.agg(F.collect_list(F.struct("client", "frameworks", "capacity", "in_flight")).alias("clients"), F.lit(1).alias("one"))), "one")
+
+    def deal(batches):
+        for batch in batches:
+            for waiting, given in zip(batch.column("chunks").to_pylist(), batch.column("clients").to_pylist(), strict=True):
+                load, out = {c["client"]: c["in_flight"] for c in given}, []
+                for w in waiting:
+                    had, replica = set(w["had"] or ()), w["dealt"]
+                    for _ in range(k):
+                        fit = [c for c in given if load[c["client"]] < c["capacity"] and (not c["frameworks"] or w["framework"] in c["frameworks"]) and (same_client or c["client"] not in had)]
+                        if not fit:
+                            break
+                        best = min(fit, key=lambda c: (load[c["client"]] / max(c["capacity"], 1), c["client"]))["client"]
+                        out.append((w["chunk"], replica, best))
+                        load[best] += 1
+                        had.add(best)
+                        replica += 1
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 3)], ["chunk", "replica", "client"])
+
+    return both.select("chunks", "clients").mapInArrow(deal, "chunk long, replica long, client long")
+
+
 def load_rank(clients: DataFrame) -> DataFrame:
     """Clients by load, the least loaded first."""
     load = F.col("in_flight") / F.greatest("capacity", F.lit(1))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import matmul, metrics, numtheory, quorum, sorting
+from ..operators import ecm, matmul, metrics, numtheory, quorum, sorting
 from ..sources import files, generate, tables
 from ..sources.tables import table
 from ..storage import work_dir
@@ -205,6 +205,70 @@ def replica_reassignment(spark, sf_dir):
     return quorum.assigned(chunks, everyone, 2, had)
 
 
+@query(f"""WITH RECURSIVE c AS (SELECT client, capacity, in_flight FROM (VALUES {CLIENT_ROWS}) t(client, frameworks, capacity, in_flight) WHERE in_flight < capacity),
+slots AS (SELECT client, (in_flight + r) / capacity AS load FROM c, range(10) t(r) WHERE in_flight + r < capacity),
+s AS (SELECT client, row_number() OVER (ORDER BY load, client) - 1 AS place FROM slots),
+o AS (SELECT o_orderkey AS chunk, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders)
+SELECT chunk, 0::BIGINT AS replica, client::BIGINT AS client FROM s JOIN o USING (place)""")
+def replica_schedule(spark, sf_dir):
+    """Chunks in order to the least loaded clients, one each and of any framework, until no place is left."""
+    everyone = clients(spark).unionByName(spark.createDataFrame(OPEN, "client long, frameworks array<string>, capacity int, in_flight int"))
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk"), F.lit("cpu").alias("framework"))
+    return quorum.scheduled(chunks, everyone.withColumn("frameworks", F.lit(None).cast("array<string>")), 1)
+
+
+# --- tasks --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT unnest(['matmul', 'sort-u32', 'attention', 'ecm-stage1']) AS id")
+def strategy_list(spark, sf_dir):
+    """What tasks can be submitted."""
+    from . import tasks
+
+    return tasks.strategies(spark).select("id")
+
+
+@query(f"SELECT i, j, sum(a.v * b.v)::BIGINT AS v FROM ({LINE_CELLS}) a JOIN (SELECT o_custkey % 16 AS k, o_orderkey % 24 AS j, count(*) AS v FROM orders GROUP BY 1, 2) b USING (k) GROUP BY 1, 2")
+def task_output(spark, sf_dir):
+    """A product submitted as a task, started, waited for and read."""
+    from .tasks import Tasks
+
+    own = Tasks(spark)
+    task = own.submit("matmul", {"a": line_cells(spark, sf_dir), "b": order_cells(spark, sf_dir)}, {"N": 32, "M": 24, "K": 16, "datatype": "i64"})
+    own.start(task).result()
+    return own.output(task)
+
+
+@query("SELECT * FROM (VALUES ('one', 'sort-u32', 'completed', true, true), ('two', 'ecm-stage1', 'error', true, true), ('three', 'ecm-stage1', 'canceled', false, false)) t(label, strategy, status, started, ended)")
+def task_listing(spark, sf_dir):
+    """Tasks in three of their states, as they are listed."""
+    from .tasks import Tasks
+
+    own = Tasks(spark)
+    one = own.submit("sort-u32", {"sequence": tables.u32_lines(spark, sf_dir).select("value")}, {}, "one")
+    two = own.submit("ecm-stage1", {}, {"N": 0}, "two")
+    own.cancel(own.submit("ecm-stage1", {}, {"N": 15}, "three"))
+    for t in (one, two):
+        own.start(t).result()
+    return own.listing().select("label", "strategy", "status", F.col("started").isNotNull().alias("started"), F.col("ended").isNotNull().alias("ended"))
+
+
+SPLIT = [2**3 * 3 * 10007 * 10009, 65537 * 7919 * 5, 2**10 * 9973 * 31327]
+
+
+@query(f"SELECT n::VARCHAR AS n, p::VARCHAR AS factor, max(e)::BIGINT AS multiplicity FROM (VALUES {', '.join(f'({n}::BIGINT)' for n in SPLIT)}) t(n), (SELECT x AS p FROM range(2, 66000) r(x) WHERE NOT EXISTS (SELECT 1 FROM range(2, 257) d(f) WHERE f < x AND x % f = 0)), range(1, 12) u(e) WHERE n % p = 0 AND n % (CASE WHEN pow(p, e) <= n THEN pow(p, e)::BIGINT ELSE n + 1 END) = 0 GROUP BY n, p")
+def ecm_factorings(spark, sf_dir):
+    """Numbers as the small primes and the factors that curves find, with multiplicities; the cofactor counts if it is prime."""
+    rows = []
+    for n in SPLIT:
+        left, small = ecm.without(n, (2, 3, 5, 7))
+        s = ecm.summary(ecm.curves(spark, left, b1=300, total=64, chunk=16), left)
+        rows += [(str(n), str(p), e) for p, e in small.items()] + [(str(n), str(f["factor"]), f["multiplicity"]) for f in s["factors"]]
+        if s["cofactor"] > 1:
+            rows.append((str(n), str(s["cofactor"]), 1))
+    return spark.createDataFrame(rows, "n string, factor string, multiplicity long")
+
+
 # --- reduced precision and wide integers --------------------------------------------------------------------------
 
 

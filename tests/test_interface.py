@@ -138,6 +138,35 @@ def test_assignment_with_earlier_clients(spark):
     assert {c for _, c in again[0]} == {1, 2, 3} and [r for r, _ in again[1]] == [2, 3]
 
 
+def greedy(chunks, clients, k, earlier, same):
+    load, out = {c[0]: c[3] for c in clients}, []
+    for chunk, kind in sorted(chunks):
+        had, replica = {c for x, c in earlier if x == chunk}, sum(x == chunk for x, _ in earlier)
+        for _ in range(k):
+            fit = [c for c in clients if load[c[0]] < c[2] and (not c[1] or kind in c[1]) and (same or c[0] not in had)]
+            if not fit:
+                break
+            best = min(fit, key=lambda c: (load[c[0]] / max(1, c[2]), c[0]))[0]
+            out.append((chunk, replica, best))
+            load[best], replica = load[best] + 1, replica + 1
+            had.add(best)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedule_takes_up_capacity(spark, seed):
+    rng = random.Random(seed)
+    clients = [(c, rng.choice([None, [], ["a"], ["b"], ["a", "b"]]), rng.randrange(1, 5), rng.randrange(0, 3)) for c in range(7)]
+    chunks = [(n, rng.choice("abc")) for n in rng.sample(range(400), 120)]
+    earlier = [(n, rng.randrange(7)) for n, _ in chunks if n < 200 or rng.random() < 0.4]  # small numbers have been dealt before, some to clients that are the only ones left
+    frames = (spark.createDataFrame(chunks, "chunk long, framework string"), spark.createDataFrame(clients, "client long, frameworks array<string>, capacity int, in_flight int"))
+    had = spark.createDataFrame(earlier, "chunk long, client long")
+    for k, same in ((1, False), (2, False), (2, True)):
+        got = sorted(map(tuple, quorum.scheduled(*frames, k, had, same).collect()))
+        assert got == greedy(chunks, clients, k, earlier, same)
+    assert quorum.scheduled(frames[0], frames[1].where("false"), 2).count() == 0
+
+
 def test_rates_of_chunks(spark):
     t = spark.createDataFrame([("1:a", 2, 500), ("1:b", 4, 1500), ("1:c", 9, 0), ("2:a", 1, 100)], "chunk string, replicas long, duration_ms long")
     got = {r.task: r for r in metrics.throughput_rates(t, F.split_part(F.col("chunk"), F.lit(":"), F.lit(1))).collect()}
