@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._shared import table, written
 
-#: Rows and columns of a tile, and leading components of the first step.
-TILE, FIRST = 1024, 16
+#: Rows and columns of a tile, leading components of the first step, and pairs that go on to more at a time.
+TILE, FIRST, PAIRS = 1024, 16, 1 << 16
 #: Sums in another order differ by far less than this; pairs as near to the threshold are decided by the plain formula.
 SLACK = 1e-9
 #: Centres at most, and components of a block at most.
@@ -115,22 +115,25 @@ class Rows:
 
 
 def tile_links(x: Rows, y: Rows, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x and y with cosine at least the threshold. What a pair has added up is kept, and each step adds its own components only."""
+    """Rows of x and y with cosine at least the threshold. What a pair has added up is kept, and each step adds its own components only, PAIRS pairs at a time."""
     ends = steps(x.p.shape[1])
     sums = x.p[:, : ends[0]] @ y.p[:, : ends[0]].T
     bound = sums if len(ends) == 1 else sums + np.multiply.outer(x.rest[0], y.rest[0])
     a, b = np.nonzero(bound >= threshold - SLACK)
-    sums = sums[a, b]
+    found = [linked_pairs(x, y, a[k : k + PAIRS], b[k : k + PAIRS], sums[a[k : k + PAIRS], b[k : k + PAIRS]], ends, threshold) for k in range(0, len(a), PAIRS)]
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True)) if found else (a, b)
+
+
+def linked_pairs(x: Rows, y: Rows, a: np.ndarray, b: np.ndarray, sums: np.ndarray, ends: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b), whose sums of the first step are given, those that link."""
     for k, (start, end) in enumerate(zip(ends, ends[1:]), 1):
-        sums += np.einsum("ij,ij->i", x.p[a, start:end], y.p[b, start:end])
+        sums = sums + np.einsum("ij,ij->i", x.p[a, start:end], y.p[b, start:end])
         left = sums >= threshold - SLACK if k == len(ends) - 1 else sums + x.rest[k][a] * y.rest[k][b] >= threshold - SLACK
         a, b, sums = a[left], b[left], sums[left]
     sure = sums >= threshold + SLACK
     near = np.flatnonzero(~sure)
-    for k in range(0, len(near), 65536):
-        m = near[k : k + 65536]
-        u, v = x.x[a[m]], y.x[b[m]]
-        sure[m] = (u * v).sum(1) / (np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1))) >= threshold
+    u, v = x.x[a[near]], y.x[b[near]]
+    sure[near] = (u * v).sum(1) / (np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1))) >= threshold
     return a[sure], b[sure]
 
 
