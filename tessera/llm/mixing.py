@@ -101,6 +101,98 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, toler
     return dual.select("source", "multiplier", "scale").unionByName(alone.select("source", F.lit(0.0).alias("multiplier"), F.lit(1.0).alias("scale")))
 
 
+#: Groups that may cut across the sources at most: the one matrix that the driver solves is of this size.
+MOST_GROUPS = 200
+#: Shares of a Newton step that are tried at once.
+SHARES = tuple(0.5**k for k in range(12))
+
+
+def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a small system by elimination with pivots; directions in which the matrix is flat keep 0."""
+    n = len(right)
+    rows = [[*m, r] for m, r in zip(matrix, right, strict=True)]
+    small = 1e-12 * max([1e-300, *(abs(x) for m in matrix for x in m)])
+    pivots: list[int | None] = []
+    at = 0
+    for c in range(n):
+        best = max(range(at, n), key=lambda k: abs(rows[k][c]), default=None)
+        if best is None or abs(rows[best][c]) <= small:
+            pivots.append(None)
+            continue
+        rows[at], rows[best] = rows[best], rows[at]
+        for k in range(n):
+            if k != at and rows[k][c]:
+                f = rows[k][c] / rows[at][c]
+                rows[k] = [x - f * y for x, y in zip(rows[k], rows[at], strict=True)]
+        pivots.append(at)
+        at += 1
+    return [0.0 if p is None else rows[p][n] / rows[p][c] for c, p in enumerate(pivots)]
+
+
+def balanced_jointly(sizes: DataFrame, targets: DataFrame, also: DataFrame, cap: float = 2.0, tolerance: float = 1e-8, rounds: int = 100) -> tuple[DataFrame, DataFrame, float]:
+    """Entropy balancing under token targets of sources and, cutting across them, of groups such as languages: r = min(cap, q exp((l + m) size / scale)).
+
+    sizes: source, grp, size, base (q > 0); targets: source, target; also: grp, target (MOST_GROUPS rows at most), both above 0 and of one sum, and such that some rates
+    between 0 and the cap meet them. Returns (source, l), (grp, m) and the scale. Sources and groups without tokens are left out.
+
+    Each round is a full Newton step of the dual: sources touch each other only through groups, so their part of the Hessian is a diagonal, which is
+    eliminated in one aggregation; the driver solves what is left, a matrix of groups by groups, and the sources' steps follow from it. Of several shares of the
+    step, evaluated in one aggregation, the one that lowers the dual most is taken."""
+    kept = sizes.where("size > 0")
+    scale = float(kept.agg(F.sum(F.col("size").cast("double") * F.col("size")) / F.sum("size")).first()[0] or 1.0)
+    x = (F.col("size") / scale).alias("x")
+    cells = written(kept.groupBy("source", "grp", "base", "size").agg(F.count("*").cast("double").alias("n")).select("source", "grp", "base", "n", x), "cells")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    of_source = targets.join(cells.select(F.col("source").alias("of")).distinct(), same("source", "of"), "left_semi")
+    of_group = also.join(cells.select(F.col("grp").alias("of")).distinct(), same("grp", "of"), "left_semi")
+    l = written(of_source.select("source", (F.col("target") / scale).alias("target"), F.lit(0.0).alias("l"), F.lit(0.0).alias("dl")), "dual")  # noqa: E741
+    m = [(r.grp, r.target / scale, 0.0) for r in of_group.select("grp", F.col("target").cast("double").alias("target")).limit(MOST_GROUPS + 1).collect()]
+    if len(m) > MOST_GROUPS:
+        raise ValueError(f"at most {MOST_GROUPS} groups may cut across the sources")
+    kind = f"h {dict(also.dtypes)['grp']}, u double, m double, dm double"
+    spark = sizes.sparkSession
+    groups = lambda steps: F.broadcast(spark.createDataFrame([(g, u, v, d) for (g, u, v), d in zip(m, steps, strict=True)], kind))
+
+    def placed(steps: list[float]) -> DataFrame:
+        return cells.join(l.withColumnRenamed("source", "s"), same("source", "s")).join(groups(steps), same("grp", "h"))
+
+    for _ in range(rounds):
+        now = F.col("l") + F.col("m")
+        rate = tilted(F.col("base"), now, F.col("x"), cap)
+        pull, bend = F.col("n") * F.col("x") * rate, F.when(rate < cap, F.col("n") * F.col("x") * F.col("x") * rate).otherwise(0.0)
+        each = written(placed([0.0] * len(m)).groupBy("source", "target", "grp").agg(exact_sum(pull).alias("pull"), exact_sum(bend).alias("bend")), "steps")
+        total = each.groupBy(F.col("source").alias("s")).agg((F.max("target") - exact_sum(F.col("pull"))).alias("gap"), F.max("target").alias("full"), (exact_sum(F.col("bend")) + 1e-9 * F.max("target")).alias("d"))
+        both = each.join(total, same("source", "s"))
+        pairs = both.select("s", "grp", "bend", "d").join(both.select(F.col("s").alias("z"), F.col("grp").alias("g2"), F.col("bend").alias("b2")), same("s", "z"))
+        cross = {(r.grp, r.g2): r.c for r in pairs.groupBy("grp", "g2").agg(exact_sum(F.col("bend") * F.col("b2") / F.col("d")).alias("c")).collect()}  # groups by groups
+        own = {r.grp: r for r in both.groupBy("grp").agg(exact_sum(F.col("pull")).alias("pull"), exact_sum(F.col("bend")).alias("bend"), exact_sum(F.col("bend") * F.col("gap") / F.col("d")).alias("from_sources")).collect()}
+        worst = total.agg(F.max(F.abs("gap") / F.col("full")).alias("w")).first().w
+        worst = max([worst or 0.0, *(abs(u - own[g].pull) / u for g, u, _ in m)])
+        if worst <= tolerance:
+            dropped(each, cells)
+            return l.select("source", "l"), spark.createDataFrame([(g, v) for g, _, v in m], f"grp {dict(also.dtypes)['grp']}, m double"), scale
+        matrix = [[(own[g].bend + 1e-9 * u if g == h else 0.0) - cross.get((g, h), 0.0) for h, _, _ in m] for g, u, _ in m]
+        dm = solved(matrix, [u - own[g].pull - own[g].from_sources for g, u, _ in m])
+        back = both.join(groups(dm), same("grp", "h")).groupBy("s").agg(((F.max("gap") - exact_sum(F.col("bend") * F.col("dm"))) / F.max("d")).alias("step"))
+        before, l = l, written(l.drop("dl").join(back, same("source", "s")).select("source", "target", "l", F.col("step").alias("dl")), "dual")  # noqa: E741
+        dropped(before, each)
+        # the dual at several shares of the step: what the exponentials sum to, on straight lines beyond the cap
+        steep = F.log(cap / F.col("base")) / F.col("x")
+
+        def summed(t: float) -> Column:
+            at = F.col("l") + F.col("m") + t * (F.col("dl") + F.col("dm"))
+            return exact_sum(F.col("n") * F.when(at < steep, F.col("base") * F.exp(F.least(at * F.col("x"), F.lit(700.0)))).otherwise(cap + cap * F.col("x") * (at - steep)))
+
+        curved = placed(dm).agg(*[summed(t).alias(f"t{k}") for k, t in enumerate(SHARES)]).first()
+        line = l.agg(exact_sum(F.col("l") * F.col("target")).alias("a"), exact_sum(F.col("dl") * F.col("target")).alias("b")).first()
+        values = [curved[k] - line.a - t * line.b - sum((v + t * d) * u for (_, u, v), d in zip(m, dm, strict=True)) for k, t in enumerate(SHARES)]
+        t = SHARES[min(range(len(SHARES)), key=lambda k: values[k])]
+        before, l = l, written(l.select("source", "target", (F.col("l") + t * F.col("dl")).alias("l"), F.lit(0.0).alias("dl")), "dual")  # noqa: E741
+        dropped(before)
+        m = [(g, u, v + t * d) for (g, u, v), d in zip(m, dm, strict=True)]
+    raise RuntimeError("the multipliers did not settle: no rates within the cap may meet the targets")
+
+
 def rounded(docs: DataFrame, cap: int = 2) -> DataFrame:
     """docs: id, source, size, rate, chunk. Adds copies (whole, 0 to cap)."""
     chunk = Window.partitionBy("source", "chunk")

@@ -148,6 +148,28 @@ def test_rates_are_the_entropy_tilt(spark):
     assert next(r for r in got if r.id == 10**6).rate == pytest.approx(0.7 if 10**6 % 3 == 0 else 1.2)
 
 
+def test_targets_that_cut_across_sources(spark):
+    """Totals of languages beside those of sources: rates of the dual's form that meet both, so the nearest ones in entropy."""
+    rng = np.random.default_rng(29)
+    n, names, langs = 900, ["a", "b", "c", None], ["en", "de", "fr"]
+    size = np.floor(rng.pareto(1.5, n) * 20 + 1).astype(int)
+    source, lang = rng.choice(4, n, p=[0.5, 0.3, 0.15, 0.05]), rng.choice(3, n, p=[0.6, 0.3, 0.1])
+    base, wanted = rng.choice([0.7, 1.0], n), rng.uniform(0.3, 1.7, n)  # rates that show the targets to be within reach
+    sizes = spark.createDataFrame([(names[s], langs[g], int(z), float(b)) for s, g, z, b in zip(source, lang, size, base)] + [("empty", "xx", 0, 1.0)], "source string, grp string, size long, base double")
+    of = lambda who, k: float((size * wanted)[who == k].sum())
+    targets = spark.createDataFrame([(names[k], of(source, k)) for k in range(4)] + [("empty", 0.0)], "source string, target double")
+    also = spark.createDataFrame([(langs[k], of(lang, k)) for k in range(3)], "grp string, target double")
+    by_source, by_group, scale = mixing.balanced_jointly(sizes, targets, also)
+    up, out = {r.source: r.l for r in by_source.collect()}, {r.grp: r.m for r in by_group.collect()}
+    rates = np.minimum(2.0, base * np.exp([(up[names[s]] + out[langs[g]]) * z / scale for s, g, z in zip(source, lang, size)]))
+    for k in range(4):
+        assert abs((size * rates)[source == k].sum() / of(source, k) - 1) < 1e-6
+    for k in range(3):
+        assert abs((size * rates)[lang == k].sum() / of(lang, k) - 1) < 1e-6
+    assert len({round(out[g] - out["en"], 6) for g in langs}) == 3 and "empty" not in up
+    assert mixing.solved([[2.0, 1.0], [4.0, 2.0]], [3.0, 6.0]) == [1.5, 0.0] and np.allclose(mixing.solved([[0.0, 2.0], [1.0, 1.0]], [4.0, 3.0]), [1, 2])
+
+
 def test_mix_of_one_hot_id(spark):
     rows = [(7, "w " * (1 + k % 30), "en", "ab"[k % 5 == 0]) for k in range(500)]
     got = mixing.mix(docs(spark, rows), chunk_rows=50).collect()
