@@ -71,12 +71,12 @@ def vote_state(k: int, timeout_ms: int | None = None, retain: int | None = RETAI
         parts = []
         if not state.hasTimedOut:
             votes = pd.concat(list(frames)).sort_values(["tick", "event_id"], kind="stable").assign(seen=now)
-            horizon = None if retain is None else max([*held.tick, *votes.tick.tail(1)]) - retain
-            old = votes.tick < horizon if horizon is not None else votes.tick.isna()
+            # as with a watermark, what earlier batches have seen decides what is too old, so that a batch may span any time
+            old = votes.tick < held.tick.max() - retain if retain is not None and len(held) else votes.tick.isna()
             first, late, held = counted(held, votes[~old], k)
             parts += [first.assign(kind="accepted"), late.assign(kind="late"), votes[old].assign(kind="late")]
-            if horizon is not None:
-                held = held[held.tick >= horizon]
+            if retain is not None:
+                held = held[held.tick >= held.tick.max() - retain]
         if timeout_ms:
             idle = ~held.done & (held.seen + timeout_ms <= now)
             parts.append(held[idle].drop_duplicates("chunk").assign(checksum=None, event_id=None, kind="stuck"))

@@ -181,6 +181,15 @@ def test_idle_chunks_are_stuck_and_old_ones_forgotten():
     assert stepped(step, state, [("a", "x", "1", 3, 5, "ok")]) == [("a", "x", 5, "late")]
 
 
+def test_a_batch_may_span_more_than_what_is_kept():
+    from tessera.streaming.quorum import unpacked, vote_state
+
+    rows = [(f"c{t}", "x", str(c), t, 2 * t + c, "ok") for t in range(0, 100, 5) for c in (0, 1)]
+    state, step = Kept(), vote_state(2, retain=10)
+    assert {r[0] for r in stepped(step, state, rows) if r[3] == "accepted"} == {r[0] for r in rows}
+    assert set(unpacked(state.get[0]).chunk) == {"c85", "c90", "c95"}
+
+
 def test_queries_over_streams_take_several_batches(spark, sf):
     from tessera.plans import catalogue
 
