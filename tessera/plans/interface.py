@@ -294,6 +294,20 @@ def matmul_tf32(spark, sf_dir):
     return cut_gram(spark, sf_dir, 10)
 
 
+def half_sql(x: str) -> str:
+    """A value cut to half precision: its fraction to 10 bits, 0 below the least normal number."""
+    return f"(CASE WHEN abs({x}) < pow(2.0, -14) THEN 0.0 ELSE sign({x}) * floor(abs({x}) / pow(2.0, floor(log2(abs({x}))) - 10)) * pow(2.0, floor(log2(abs({x}))) - 10) END + 0.0)"
+
+
+@query(f"SELECT i, j, {half_sql('v')} AS v FROM (SELECT d AS i, label::BIGINT AS j, round(sum({half_sql('v')}), 6) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY 1, 2)")
+def matmul_f16_output(spark, sf_dir):
+    """A product whose inputs and output are of half precision: cut, summed, rounded to six digits, cut again."""
+    a, _ = tables.transposed_pair(tables.cells(spark, sf_dir))
+    b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), F.col("label").cast("long").alias("j"), F.lit(1.0).alias("v"))
+    found = matmul.product(a.withColumn("v", numbers.half(F.col("v"))), b)
+    return found.withColumn("v", numbers.half(F.round("v", 6)) + F.lit(0.0))
+
+
 ORDER_CELLS = "SELECT o_custkey % 16 AS k, o_orderkey % 24 AS j, count(*) AS v FROM orders GROUP BY 1, 2"
 
 
