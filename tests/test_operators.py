@@ -4,6 +4,8 @@ import random
 from math import prod
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -289,6 +291,43 @@ def test_blocked_attention_equals_the_plain_one(spark):
         assert got.keys() == plain.keys() and all(abs(got[x] - plain[x]) < 1e-12 for x in plain)
 
 
+def test_scores_deal_few_copies_and_meet_each_pair_once(spark, monkeypatch):
+    """Both sides are cut alike: rows dealt grow with the root of the number of groups, not with it."""
+    met, n = attention.met, 50_000
+
+    class Counted:
+        def __init__(self, head, ids):
+            self.head, self.asked, self.given = head, len(ids), 0
+
+        def give(self, ids, rows):
+            self.given += len(ids)
+            yield from ()
+
+        def end(self):
+            yield pa.record_batch([pa.array([self.head]), pa.array([self.asked]), pa.array([self.given]), pa.array([0.0])], ["head", "i", "j", "s"])
+
+    monkeypatch.setattr(attention, "met", lambda asked, given, make, *more: met(asked, given, lambda head, ids, rows: Counted(head, ids), *more))
+    x = spark.range(n).select(F.lit(0).cast("long").alias("head"), F.col("id").alias("i"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+    groups = attention.scores(x, x, 2).collect()
+    assert sum(g.i * g.j for g in groups) == n**2 and len(groups) >= 4 * spark.sparkContext.defaultParallelism
+    assert sum(g.i + g.j for g in groups) <= 9 * n
+
+
+def test_written_scores_hold_few_bytes_of_keys(spark, tmp_path):
+    """More keys than a strip, in groups of all keys of a head; a file's column of keys takes less than two bits a row."""
+    q, k = (np.random.default_rng(34).normal(size=(n, 2)) for n in (200, 5000))
+    frames = [spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i long, v array<double>").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("head"), "i", "v") for x in (q, k)]
+    attention.scores(*frames, 2).write.parquet(f"{tmp_path}/s")
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "s").glob("*.parquet")]
+    chunks = [m.row_group(g).column(2) for m in files for g in range(m.num_row_groups)]
+    assert {c.path_in_schema for c in chunks} == {"j"} and sum(c.total_compressed_size for c in chunks) * 4 < 16 * 200 * 5000
+    t = pq.read_table(tmp_path / "s")
+    head, i, j, score = (t.column(c).to_numpy() for c in ("head", "i", "j", "score"))
+    got = np.full((16, 200, 5000), np.nan)
+    got[head, i, j] = score
+    assert len(score) == got.size and np.allclose(got, q @ k.T / 2**0.5, rtol=0, atol=1e-12)
+
+
 def test_window_prunes(spark, sf):
     from tessera.plans import catalogue
 
