@@ -313,6 +313,30 @@ def test_scores_deal_few_copies_and_meet_each_pair_once(spark, monkeypatch):
     assert sum(g.i + g.j for g in groups) <= 9 * n
 
 
+def test_weights_deal_few_copies_as_they_are_stored(spark, monkeypatch):
+    """Many queries and few keys of 32 bits: rows dealt, their kind, and the weights against the plain ones in several groups."""
+    met, seen = attention.met, []
+
+    def kept(asked, given, make, schema, *more):
+        if "j long" in schema:
+            seen.append((dict(asked.dtypes)["x"], dict(given.dtypes)["x"]))
+            rows = met(asked, given, make, schema, *more)
+            return rows.withColumn("task", F.spark_partition_id())
+        return met(asked, given, make, schema, *more)
+
+    monkeypatch.setattr(attention, "met", kept)
+    wide = lambda n, c: spark.range(n).select(F.lit(0).cast("long").alias("head"), F.col("id").alias("i"), F.array(F.sin(F.col("id") * c), F.cos("id")).cast("array<float>").alias("v"))
+    q, k = wide(9000, 0.7), wide(300, 3.1)
+    tasks = attention.weights(q, k, 2).groupBy("task").agg(F.countDistinct("i").alias("i"), F.countDistinct("j").alias("j"), F.count("*").alias("n")).collect()
+    assert sum(t.n for t in tasks) == sum(t.i * t.j for t in tasks) == 9000 * 300 and seen == [("array<float>", "array<float>")]
+    assert sum(t.i + t.j for t in tasks) <= 16 * 300 + 9000
+    q, k = wide(90, 0.7), wide(31, 3.1)
+    want = {(r.i, r.j): r.p for r in attention.softmax(attention.scores(q, k, 2)).collect()}
+    for block in (9, 1000):
+        got = {(r.i, r.j): r.p for r in attention.weights(q, k, 2, block).collect()}
+        assert got.keys() == want.keys() and len(want) == 90 * 31 and all(abs(got[c] - want[c]) < 1e-12 for c in want)
+
+
 def test_written_scores_hold_few_bytes_of_keys(spark, tmp_path):
     """More keys than a strip, in groups of all keys of a head; a file's column of keys takes less than two bits a row."""
     q, k = (np.random.default_rng(34).normal(size=(n, 2)) for n in (200, 5000))
