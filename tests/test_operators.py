@@ -337,6 +337,17 @@ def test_weights_deal_few_copies_as_they_are_stored(spark, monkeypatch):
         assert got.keys() == want.keys() and len(want) == 90 * 31 and all(abs(got[c] - want[c]) < 1e-12 for c in want)
 
 
+def test_weights_find_their_sums_once(spark):
+    """Nothing of the sums is computed while the plan is built: it reads queries and keys only."""
+    rows = spark.createDataFrame([(0, i, [float(i), 1.0]) for i in range(20)], "head long, i long, v array<double>")
+    failing = lambda batches: iter([1 // 0])
+    real, attention.attended = attention.attended, lambda q, k, v, d: q.mapInArrow(failing, "head long, i long, top double, total double")
+    try:
+        assert attention.weights(rows, rows, 2).columns == ["head", "i", "j", "p"]
+    finally:
+        attention.attended = real
+
+
 def test_written_scores_hold_few_bytes_of_keys(spark, tmp_path):
     """More keys than a strip, in groups of all keys of a head; a file's column of keys takes less than two bits a row."""
     q, k = (np.random.default_rng(34).normal(size=(n, 2)) for n in (200, 5000))
