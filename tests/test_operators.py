@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers
 from tessera.operators import attention, ecm, matmul, metrics, numtheory, quorum, sorting
-from tessera.plans import tiling
+from tessera.plans import catalogue, tiling
 from tessera.sources import files, generate, tables
 
 
@@ -313,6 +313,22 @@ def test_scores_deal_few_copies_and_meet_each_pair_once(spark, monkeypatch):
     assert sum(g.i + g.j for g in groups) <= 9 * n
 
 
+@pytest.mark.parametrize("batch", ["10000", "90"])
+def test_scores_are_filed_by_a_dictionary(spark, sf, tmp_path, batch):
+    """However keys are batched, no page of a file holds scores plainly, and each strip's keys come in turn."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        catalogue.queries()["attn_scores"](spark, sf).write.parquet(str(tmp_path / "scores"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "scores").glob("*.parquet")]
+    held = [m.row_group(g).column(3) for m in files for g in range(m.num_row_groups)]
+    assert held and all(c.path_in_schema == "score" and "PLAIN" not in c.encodings for c in held)
+    n = tables.vectors(spark, sf).count()
+    got = spark.read.parquet(str(tmp_path / "scores"))
+    assert got.count() == got.select("head", "i", "j").distinct().count() == 4 * n**2
+
+
 def test_weights_deal_few_copies_as_they_are_stored(spark, monkeypatch):
     """Many queries and few keys of 32 bits: rows dealt, their kind, and the weights against the plain ones in several groups."""
     met, seen = attention.met, []
