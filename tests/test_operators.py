@@ -313,6 +313,16 @@ def test_scores_deal_few_copies_and_meet_each_pair_once(spark, monkeypatch):
     assert sum(g.i + g.j for g in groups) <= 9 * n
 
 
+def test_rows_of_pairs_leave_python_as_lists(spark, sf, tmp_path):
+    """A row a query and strip crosses from Python, not one a pair, and no column of the files has room for nulls."""
+    for name in ("attn_softmax", "attn_scores"):
+        got = catalogue.queries()[name](spark, sf)
+        assert "Generate posexplode" in got._jdf.queryExecution().optimizedPlan().toString()
+        got.write.parquet(f"{tmp_path}/{name}")
+        schema = pq.ParquetFile(next((tmp_path / name).glob("*.parquet"))).schema
+        assert [schema.column(c).max_definition_level for c in range(4)] == [0] * 4
+
+
 @pytest.mark.parametrize("batch", ["10000", "90"])
 def test_scores_are_filed_by_a_dictionary(spark, sf, tmp_path, batch):
     """However keys are batched, no page of a file holds scores plainly, and each strip's keys come in turn."""
